@@ -25,7 +25,9 @@ def plain_path(c: Column) -> Column:
 def plain_qname(c: Column) -> Column:
     """Dot-separated, without blanks around it and without call brackets; case is kept."""
     bare = F.regexp_replace(stripped(c), r"\s*\([^()]*\)\s*$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"\s*(::|[#/\\])\s*", "."), r"^\.+|\.+$", "")
+    dotted = F.regexp_replace(F.regexp_replace(bare, r"\s*(::|[#/\\])\s*", "."), r"^\.+|\.+$", "")
+    # most names are plain already; one look tells
+    return F.when(c.rlike(r"^\.|\.$|[^\w.$-]"), dotted).otherwise(c)
 
 
 def plain_sha256(c: Column) -> Column:

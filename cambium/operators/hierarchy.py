@@ -18,8 +18,8 @@ SIBLING_BITS = 16  # siblings are linked in groups of at most 2**16, then group
 
 
 def numbered(keys: DataFrame, *by: str) -> DataFrame:
-    """Distinct rows with an increasing integer `id` in the order of `by`: sorted by range, numbered per range."""
-    return cut(keys.distinct().repartitionByRange(*[F.col(c) for c in by]).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    """Rows with an increasing integer `id` in the order of `by`: sorted by range, numbered per range. `by` is unique."""
+    return cut(keys.repartitionByRange(*[F.col(c) for c in by]).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id()), "nodes")
 
 
 def _peeled(links: DataFrame, rounds: int) -> DataFrame:
@@ -105,7 +105,7 @@ def hierarchy(links: DataFrame, scope: Column, child: Column, parent: Column) ->
     pairs = links.select(scope.alias("scope"), child.alias("child"), parent.alias("parent")).where(~(blank(F.col("scope")) | blank(F.col("child")) | blank(F.col("parent"))))
     pairs = cut(pairs.groupBy("scope", "child").agg(F.min("parent").alias("parent")), "links")
     ends = pairs.select("scope", F.explode(F.array("child", "parent")).alias("node"))
-    nodes = numbered(ends, "scope", "node")
+    nodes = numbered(ends.distinct(), "scope", "node")
     a, b = (nodes.select("scope", F.col("node").alias(c), F.col("id").alias(f"{c}_id")) for c in ("child", "parent"))
     ids = cut(pairs.join(a, ["scope", "child"]).join(b, ["scope", "parent"]).select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent")), "ids")
     rings = cycle_members(ids)

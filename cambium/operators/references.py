@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions.plain import blank, plain_qname
 from cambium.operators.hierarchy import numbered
+from cambium.session import cut
 
 RANGE_BITS = 16  # keys per range at most 2**16
 HEAVY_KEYS = 1000  # a key with over 1/1000 of all rows is heavy, so there are fewer than this
@@ -55,12 +56,19 @@ def as_of_runs(ids: DataFrame, runs: DataFrame) -> DataFrame:
     return seen.select(F.col("at").alias("id"), F.coalesce(F.col("at") <= F.col("run.last"), F.lit(False)).alias("inside"), F.col("run.latest").alias("latest"))
 
 
-def join_skewed(rows: DataFrame, states: DataFrame, on: list[str], heavy: Column) -> DataFrame:
-    """Inner join of many `rows` to one state a key. States marked `heavy` (fewer than HEAVY_KEYS by definition) are
-    broadcast, so no task gets a hot key; the rest is shuffled."""
-    hot = F.broadcast(states.where(heavy).limit(HEAVY_KEYS))
-    cold = states.where(~heavy)
-    return rows.join(hot, on).unionByName(rows.join(cold.hint("shuffle_merge"), on))
+def join_skewed(rows: DataFrame, states: DataFrame, on: list[str], row: str) -> DataFrame:
+    """Inner join of many `rows` to at most one state a key, in one pass over the rows.
+
+    `states` has a flag `heavy`, set for keys that hold over 1/HEAVY_KEYS of all rows, hence for fewer than HEAVY_KEYS of
+    them, and `wanted`. Heavy states are broadcast; rows of heavy keys then need no partner and are spread by `row`
+    instead of their key, and those of unwanted heavy keys go at once."""
+    values = [c for c in states.columns if c not in (*on, "heavy", "wanted")]
+    hot = states.where("heavy").limit(HEAVY_KEYS).select(*on, "wanted", F.struct(*values).alias("_hot"))
+    cold = states.where("wanted and not heavy").select(*on, F.lit("").alias("_spread"), F.struct(*values).alias("_cold"))
+    met = rows.join(F.broadcast(hot), on, "left").where("wanted is null or wanted")
+    met = met.withColumn("_spread", F.when(F.col("wanted"), F.col(row).cast("string")).otherwise(""))
+    both = met.join(cold, [*on, "_spread"], "left").where("_hot is not null or _cold is not null")
+    return both.withColumn("_state", F.coalesce("_hot", "_cold")).select(*rows.columns, *[F.col(f"_state.{v}").alias(v) for v in values])
 
 
 def orphans(references: list[Reference], symbols: DataFrame) -> DataFrame:
@@ -87,11 +95,13 @@ def orphans(references: list[Reference], symbols: DataFrame) -> DataFrame:
     live_run = as_of_runs(cited, parent_runs(parents.where("live").select("id", "since")))
     judged = any_run.select("id", F.col("inside").alias("exists")).join(live_run.select("id", F.col("inside").alias("lives"), "latest"), "id")
     # a run none of whose parents is younger than the key's first reference can't hold a late one
-    faulty = keys.where("refs > 0").join(judged, "id").where(~F.col("lives") | (F.col("latest") > F.col("earliest")))
+    faulty = ~F.col("lives") | (F.col("latest") > F.col("earliest"))
     total = keys.agg(F.sum("refs")).head()[0] or 0
-    heavy = F.col("refs") * HEAVY_KEYS > F.lit(total)
-    states = faulty.select("scope", "key", F.when(~F.col("exists"), "missing").when(~F.col("lives"), "deleted").alias("fault"), "since", heavy.alias("heavy"))
-    hit = join_skewed(refs, states, ["scope", "key"], F.col("heavy")).where(F.col("fault").isNotNull() | (F.col("since") > F.col("at")))
+    states = keys.where("refs > 0").join(judged, "id").select(
+        "scope", "key", F.when(~F.col("exists"), "missing").when(~F.col("lives"), "deleted").alias("fault"), "since", F.coalesce(faulty, F.lit(False)).alias("wanted"), (F.col("refs") * HEAVY_KEYS > F.lit(total)).alias("heavy")
+    )
+    states = cut(states.where("wanted or heavy"), "states")
+    hit = join_skewed(refs, states, ["scope", "key"], "row_id").where(F.col("fault").isNotNull() | (F.col("since") > F.col("at")))
     return hit.select("table_name", "row_id", "field_name", F.coalesce("fault", F.lit("late")).alias("reason"), F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
 
