@@ -68,5 +68,5 @@ def dependants(edges: DataFrame) -> DataFrame:
 def heavy_keys(edges: DataFrame, symbols: DataFrame, share: float = 0.01) -> DataFrame:
     """`repo, target_qname` of the targets that hold at least `share` of all distinct edge ids."""
     per_key = dependants_per_target(edges, symbols)
-    total = F.broadcast(per_key.agg(F.sum("edges").alias("total")))  # one row
-    return per_key.join(total, F.col("edges") >= F.col("total") * share).select("repo", "target_qname")
+    total = per_key.agg(F.sum("edges")).scalar()
+    return per_key.where(F.col("edges") >= total * share).select("repo", "target_qname")
