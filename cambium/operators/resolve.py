@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cambium.session import cut
+
 # Receivers, roots that are only known at run time, and the bounds of the walks.
 RECEIVERS = ("self", "cls", "this", "type")
 DYNAMIC_ROOTS = ("self", "cls", "this", "super", "type", "args", "kwargs")
@@ -98,20 +100,20 @@ class Resolver:
     def __init__(self, symbols: DataFrame, imports: DataFrame, stars: DataFrame, bases: DataFrame):
         self.symbols = symbols
         self.imports = imports.where("not (local = '*' and imported = '*')")
-        self.known = symbols.select("repo", "qname").distinct()
-        self.modules = symbols.where("kind = 'module'").select("repo", F.col("qname").alias("module")).distinct()
+        # each relation below takes part in many joins; written once, so that plans stay small
+        self.known = cut(symbols.select("repo", "qname").distinct(), "known")
+        self.modules = cut(symbols.where("kind = 'module'").select("repo", F.col("qname").alias("module")).distinct(), "modules")
         plain = symbols.where("kind <> 'module'").select("repo", "module", "name", "qname").distinct()
-        self.in_module = plain.groupBy("repo", "module", "name").agg(F.count("*").alias("n"), F.min("qname").alias("hit"))
-        self.unique = plain.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min("qname").alias("hit")).where("n = 1").select("repo", "name", "hit")
-        self.chain = class_chain(bases)
+        self.in_module = cut(plain.groupBy("repo", "module", "name").agg(F.count("*").alias("n"), F.min("qname").alias("hit")), "in_module")
+        self.unique = cut(plain.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min("qname").alias("hit")).where("n = 1").select("repo", "name", "hit"), "unique")
+        self.chain = cut(class_chain(bases), "chain")
         reach = star_closure(stars).unionByName(self.modules.select("repo", "module", F.col("module").alias("reach"))).distinct()
-        seen = reach.join(self.in_module.withColumnRenamed("module", "reach"), ["repo", "reach"])
+        seen = cut(reach.join(self.in_module.withColumnRenamed("module", "reach"), ["repo", "reach"]), "seen")
         # a name seen through stars counts if one symbol only, in every module reached, has it
-        self.named = seen.groupBy("repo", "module", "name").agg(F.max("n").alias("most"), F.count_distinct("hit").alias("hits"), F.min("hit").alias("hit")).where("most = 1 and hits = 1").select("repo", "module", "name", "hit")
-        named_all = seen.select("repo", "module", "name").distinct()
+        named = seen.groupBy("repo", "module", "name").agg(F.max("n").alias("most"), F.count_distinct("hit").alias("hits"), F.min("hit").alias("hit")).where("most = 1 and hits = 1").select("repo", "module", "name", "hit")
         sub = self.modules.select("repo", F.regexp_extract("module", r"^(.*)\.[^.]+$", 1).alias("m"), F.substring_index("module", ".", -1).alias("name"), F.col("module").alias("hit")).where("m <> ''").withColumnRenamed("m", "module")
-        self.named_or_submodule = self.named.unionByName(sub.join(named_all, ["repo", "module", "name"], "left_anti"))
-        self.bound = self.imports.where("target is not null").groupBy("repo", "module", "local").agg(F.max_by(F.struct("target", "imported"), "pos").alias("i")).select("repo", "module", "local", "i.target", "i.imported")
+        self.named_or_submodule = cut(named.unionByName(sub.join(seen.select("repo", "module", "name").distinct(), ["repo", "module", "name"], "left_anti")), "named")
+        self.bound = cut(self.imports.where("target is not null").groupBy("repo", "module", "local").agg(F.max_by(F.struct("target", "imported"), "pos").alias("i")).select("repo", "module", "local", "i.target", "i.imported"), "bound")
 
     def import_edges(self) -> DataFrame:
         """module -> module once each (static), and module -> imported name (import in the imported module itself, else
@@ -194,17 +196,18 @@ class Resolver:
         steps = min(steps, MAX_BINDING_STEPS)
         b = bindings.groupBy("repo", "module", "owner", "local").agg(F.max_by(F.struct("target", "annotation"), "pos").alias("v")).select("repo", "module", "owner", "local", "v.target", "v.annotation")
         b = b.where("target is not null and target <> '' and target <> local").withColumn("bid", F.xxhash64("repo", "module", "owner", "local"))
+        b = cut(b, "bindings")
         ask = b.select(F.col("bid").alias("id"), "repo", "module", F.concat_ws(".", "owner", F.lit("_")).alias("source"), "target")
         roots = self.resolve(ask).select(F.col("id").alias("bid"), F.col("hit").alias("root"))
-        known = b.join(roots, "bid", "left")
+        known = cut(b.join(roots, "bid", "left"), "roots")
         for _ in range(steps - 1):
             more = self._bound(known.where("root is null").select(F.col("bid").alias("id"), "repo", "module", F.concat_ws(".", "owner", F.lit("_")).alias("source"), "target"), known)
-            known = known.join(more.select(F.col("id").alias("bid"), F.col("hit").alias("_more")), "bid", "left").withColumn("root", F.coalesce("root", "_more")).drop("_more")
+            known = cut(known.join(more.select(F.col("id").alias("bid"), F.col("hit").alias("_more")), "bid", "left").withColumn("root", F.coalesce("root", "_more")).drop("_more"), "roots")
         names = known.where("root is null and annotation is not null").select("bid", "repo", "module", "owner", F.posexplode(_names("annotation")).alias("k", "target")).withColumn("id", F.xxhash64("bid", "k"))
         typed = self.resolve(names.select("id", "repo", "module", F.concat_ws(".", "owner", F.lit("_")).alias("source"), "target")).join(names.select("id", "bid", "k"), "id")
         typed = typed.groupBy("bid").agg(F.min_by("hit", "k").alias("_typed"))
-        known = known.join(typed, "bid", "left").withColumn("root", F.coalesce("root", "_typed")).drop("_typed")
-        bound = self._bound(raw, known)
+        known = cut(known.join(typed, "bid", "left").withColumn("root", F.coalesce("root", "_typed")).drop("_typed"), "roots")
+        bound = cut(self._bound(raw, known), "attr")
         rest = self.resolve(raw.join(bound, "id", "left_anti"))
         return bound.unionByName(rest)
 
