@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cambium.functions.plain import plain_path
 from cambium.operators import graph as G
-from cambium.operators import incremental, resolve
+from cambium.operators import extract, incremental, resolve
 from cambium.plans.problems import _P1, sql_kind, sql_path, sql_qname, sql_sha
 from cambium.session import table
 
@@ -453,3 +453,57 @@ def eval_precision_recall(spark, d):
     cases = cases.where(ok).drop("kind")
     trusted = G.CodeGraph(g.symbols, g.files, g.edges.where("method <> 'global'"), g.unresolved, g.contracts)
     return G.precision_recall(G.predicted_files(g, cases), G.predicted_files(trusted, cases))
+
+
+# Extraction from source text
+
+
+def _extracted(spark: SparkSession, d: str) -> extract.Extracted:
+    return extract.extract(table(spark, d, "documents"))
+
+
+@query()
+def extract_symbols(spark, d):
+    return _extracted(spark, d).symbols
+
+
+@query()
+def extract_imports(spark, d):
+    return _extracted(spark, d).imports
+
+
+@query()
+def extract_references(spark, d):
+    return _extracted(spark, d).edges
+
+
+@query()
+def extract_bindings(spark, d):
+    return _extracted(spark, d).bindings
+
+
+@query()
+def resolve_import_candidates(spark, d):
+    """Imports with the module they mean: the first candidate that exists, or the only module with that ending."""
+    x = _extracted(spark, d)
+    modules = x.symbols.where("kind = 'module'").select("repo", F.col("qname").alias("module")).distinct()
+    return resolve.first_existing(x.imports, modules).drop("candidates")
+
+
+@query()
+def resolved_edges(spark, d):
+    return extract.resolved(_extracted(spark, d))[0]
+
+
+@query()
+def unresolved_from_text(spark, d):
+    return extract.resolved(_extracted(spark, d))[1].groupBy("repo", "bucket", "kind").agg(F.count("*").alias("n"))
+
+
+@query(_WITH.replace("with ", "with recursive ", 1) + ", st as (select distinct e.repo, e.source_qname m, e.target_qname t from edg e join sym a on a.repo = e.repo and a.qname = e.source_qname and a.kind = 'module' join sym b on b.repo = e.repo and b.qname = e.target_qname and b.kind = 'module' where e.kind = 'imports' and e.method = 'static'), up as (select distinct repo, m as module, m reach, 0 k from st union select u.repo, u.module, s.t, u.k + 1 from up u join st s on s.repo = u.repo and s.m = u.reach where u.k < 10) select distinct repo, module, reach from up")
+def star_closure(spark, d):
+    """Modules each module leads to over static imports of modules, up to ten steps."""
+    g = G.load_graph(spark, d)
+    m = g.symbols.where("kind = 'module'").select("repo", "qname")
+    e = g.edges.where("kind = 'imports' and method = 'static'").join(m.withColumnRenamed("qname", "source_qname"), ["repo", "source_qname"]).join(m.withColumnRenamed("qname", "target_qname"), ["repo", "target_qname"])
+    return resolve.star_closure(e.select("repo", F.col("source_qname").alias("module"), F.col("target_qname").alias("target")))
