@@ -300,7 +300,7 @@ def parse_braces(p: Parsed, text: str, language: str) -> None:
         last = close.get(brace, len(code) - 1) if has_body else end
         returns = code[end + 1 : brace].strip().rstrip("{=> ").strip() if has_body else ""
         q = ".".join([p.module, *([f.owner] if f.owner else []), f.name])
-        before = code[S._line_start(code, f.start) : f.paren]
+        before = code[f.start : f.paren]
         if language == "typescript":
             exported, kind = bool(re.match(r"\s*export\b", before)), "method" if f.owner else "function"
             if not f.owner and f.name[:1].isupper() and has_body and RENDER.search(code, brace, last):

@@ -71,7 +71,8 @@ class PartitionedRefresh:
         old = stored.where(F.col(ROWS).isNotNull()).select(PART, *[F.col(c).alias(f"old{c}") for c in (ROWS, SUM_LOW, SUM_HIGH)])
         same = F.lit(True)
         for c in (ROWS, SUM_LOW, SUM_HIGH):
-            same = same & F.col(c).eqNullSafe(F.col(f"old{c}"))
+            # an emptied part stays known, with zero rows
+            same = same & F.when(F.col(ROWS).isNull() & F.col(f"old{c}").isNotNull(), F.lit(0)).otherwise(F.col(c)).eqNullSafe(F.col(f"old{c}"))
         return sorted(r[0] for r in now.join(old, PART, "full").where(~same).select(PART).collect())
 
     def refresh(self, source: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> list[int]:

@@ -215,7 +215,7 @@ def _python_doc(literal: str) -> str:
 TS_CLASS = re.compile(r"\b(?:class|interface)\s+(?P<name>[\w$]+)")
 TS_FUNCTION = re.compile(r"(?P<start>(?:\b(?:export|default|declare|async)\s+)*)\bfunction\b\s*\*?\s*(?P<name>[\w$]+)")
 TS_VARIABLE = re.compile(r"(?P<start>(?:\b(?:export|declare)\s+)*\b(?:const|let|var)\s+)(?P<name>[\w$]+)\s*(?=[:=])")
-TS_METHOD = re.compile(r"^[ \t]*(?P<start>(?:@[\w.]+(?:\([^()\n]*\))?[ \t]+)*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set|declare)[ \t]+)*)\*?[ \t]*(?P<name>#?[\w$]+)\s*[?!]?\s*(?P<after>[<(:=])", re.M)
+TS_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?P<start>(?:@[\w.]+(?:\([^()\n]*\))?[ \t]+)*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set|declare)[ \t]+)*)\*?[ \t]*(?P<name>#?[\w$]+)\s*[?!]?\s*(?P<after>[<(:=])", re.M)
 NOT_METHODS = frozenset("if for while switch catch return throw function new typeof await yield else do try with super import export const let var class interface case delete".split())
 
 
@@ -317,7 +317,7 @@ def rust_functions(text: str, code: str) -> Iterator[Function]:
 
 
 JAVA_TYPE = re.compile(r"(?<![\w.])(?:class|interface|enum|record|@interface)\s+(?P<name>\w+)")
-JAVA_METHOD = re.compile(r"^[ \t]*(?P<start>)(?:@[\w.]+(?:\([^()]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<(?:[^<>(){};]|<[^<>(){};]*>)*>\s+)?(?P<type>[\w.]+(?:\s*<(?:[^<>(){};]|<(?:[^<>(){};]|<[^<>(){};]*>)*>)*>)?(?:\s*\[\s*\])*)\s+(?P<name>\w+)\s*\(", re.M)
+JAVA_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?P<start>)(?:@[\w.]+(?:\([^()]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<(?:[^<>(){};]|<[^<>(){};]*>)*>\s+)?(?P<type>[\w.]+(?:\s*<(?:[^<>(){};]|<(?:[^<>(){};]|<[^<>(){};]*>)*>)*>)?(?:\s*\[\s*\])*)\s+(?P<name>\w+)\s*\(", re.M)
 JAVA_FIELD = re.compile(r"^[ \t]*(?P<start>)(?:@[\w.]+(?:\([^()]*\))?\s+)*(?:(?:public|private|protected|static|final|volatile|transient)\s+)*[\w.]+(?:\s*<[^;={}()]*>)?\s+(?P<name>\w+)\s*=\s*(?P<params>\([^();]*\)|\w+)\s*->", re.M)
 JAVA_NOT = frozenset("return new throw else case if for while switch try catch do assert yield instanceof package import".split())
 

@@ -37,8 +37,8 @@ def watch(spark: SparkSession, root: str, store: SnapshotStore, repo: str, inter
 
 
 def follow_listings(spark: SparkSession, source: str, index_runs: Callable[[], DataFrame], log: str, state: str, checkpoint: str, parts: int = 16) -> StreamingQuery:
-    """Streams new files of the listing table `source` (parquet, rows of `files` in plain form with repo, root, seq, last
-    and run_id resolved by `index_runs`) into a log, and refreshes the changed paths of the parts they touch.
+    """Streams new files of the listing table `source` (parquet; run_id, path, sha256, deleted, recorded_at in plain form)
+    into a log, with `index_runs` giving run_id, repo, root, seq and last, and refreshes the changed paths of the parts they touch.
 
     A micro-batch that is repeated after a failure overwrites its own part of the log, so rows count once, and the
     refresh recomputes from the log, so no change is lost or doubled. Ends when everything there is has been handled."""
@@ -48,7 +48,7 @@ def follow_listings(spark: SparkSession, source: str, index_runs: Callable[[], D
     def handle(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(log)
         runs = index_runs()
-        rows = spark.read.parquet(log).drop("_epoch").join(runs.withColumnRenamed("repo", "run_repo"), "run_id")
+        rows = spark.read.parquet(log).drop("_epoch", "repo").join(runs, "run_id")
         rows = rows.withColumn(PART, part_of(F.col("repo"), F.col("root"), F.col("path"), parts=parts))
         table.refresh(rows.select("run_id", "repo", "root", "seq", "last", "path", "sha256", "deleted", "recorded_at", PART), run_changes)
 
