@@ -155,12 +155,14 @@ def run_changes(listed: DataFrame) -> DataFrame:
     return shown.select(PART, "repo", "root", "path", F.col("c.at").alias("seq"), F.col("c.change").alias("change"))
 
 
-def changed_paths(files: DataFrame, index_runs: DataFrame, folder: str | None = None, parts: int = 48) -> DataFrame:
+def changed_paths(files: DataFrame, index_runs: DataFrame, folder: str | None = None, parts: int | None = None) -> DataFrame:
     """`run_id, path, change`: per successful run the paths it must handle, kept in a `PartitionedRefresh` table.
 
-    With a `folder` of an earlier call, only parts whose listings changed are recomputed. Files or runs that are
+    With a `folder` of an earlier call and the same `parts`, only parts whose listings changed are recomputed. By default
+    there are at least 48 parts, and as many as shuffle partitions. Files or runs that are
     empty give no rows; extra columns are ignored."""
     spark = files.sparkSession
+    parts = parts or max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
     listed = listings(files, index_runs, parts)
     state = PartitionedRefresh(spark, folder or scratch(spark, "changed-paths"), parts)
     state.refresh(listed, run_changes)
