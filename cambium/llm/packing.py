@@ -97,7 +97,10 @@ def ranked(items: DataFrame, key: str, order: list[str], buckets: int) -> DataFr
     return b.withColumn("local", local).join(before, [key, "bucket"]).withColumn("rank", F.col("before") + F.col("local")).drop("bucket", "local", "before")
 
 
-def pack(sizes: DataFrame, capacity: int, buckets: int = 64) -> DataFrame:
+BUCKET_ROWS = 250_000  # documents of one length that one task ranks, about
+
+
+def pack(sizes: DataFrame, capacity: int, buckets: int | None = None) -> DataFrame:
     """`container, doc_id, part, length` for documents `doc_id, n_tokens`.
 
     A document longer than `capacity` is divided: its full parts take a container each and its rest is packed like any
@@ -112,6 +115,7 @@ def pack(sizes: DataFrame, capacity: int, buckets: int = 64) -> DataFrame:
     histogram = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
     found, _ = slots(shortest_pack_first(histogram, capacity))
     table = spark.createDataFrame(found, "length int, first bigint, end bigint, base bigint, per bigint")
+    buckets = buckets or 1 + max(histogram.values(), default=0) // BUCKET_ROWS
     placed = ranked(items, "length", ["doc_id", "part"], buckets)
     # the slots are a few rows a length, none of which grows with the documents
     hit = placed.join(F.broadcast(table), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.tokens import DEFAULT_VOCABULARY, ByteTokenizer, pieces, tokenizer
@@ -22,8 +22,8 @@ STRENGTHS = ("P", "L", "S", "W")
 LEAST_FILL = 0.5  # of the limit; a stronger boundary is preferred only beyond it
 
 
-def marks(text: str, t: ByteTokenizer) -> tuple[str, list[int]]:
-    """The boundary character of each token and the number of characters up to its end."""
+def marks(text: str, t: ByteTokenizer) -> tuple[str, list[int], list[int]]:
+    """The boundary character of each token, and the numbers of characters and of bytes up to its end."""
     raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
     ids = np.concatenate([t.encode(p) for p in pieces(text)]) if text else np.zeros(0, dtype=np.int64)
     ends = np.cumsum(t.sizes[ids])
@@ -44,25 +44,39 @@ def marks(text: str, t: ByteTokenizer) -> tuple[str, list[int]]:
     code = np.full(len(ids), ord("c"), dtype=np.uint8)
     for mark, where in (("W", blank), ("S", sentence), ("L", newline), ("P", empty), ("x", inside)):
         code[where] = ord(mark)
-    return code.tobytes().decode("ascii"), chars[ends - 1].tolist() if len(ids) else []
+    return code.tobytes().decode("ascii"), chars[ends - 1].tolist() if len(ids) else [], ends.tolist()
 
 
 def marked(documents: DataFrame, more_than: int, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """`doc_id, text, marks, ends` of the documents with more than so many tokens."""
+    """`doc_id, text, marks, ends, byte_ends` of the documents with more than so many tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(vocabulary)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                m, ends = marks(text, t)
-                if len(m) > more_than:
-                    rows.append((doc_id, text, m, ends))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "marks", "ends"])
+                m = marks(text, t)
+                if len(m[0]) > more_than:
+                    rows.append((doc_id, text, *m))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "marks", "ends", "byte_ends"])
 
     # no text has more tokens than bytes
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(f"doc_id is not null and octet_length(text) > {int(more_than)}")
-    return rows.mapInPandas(run, "doc_id bigint, text string, marks string, ends array<int>")
+    return rows.mapInPandas(run, "doc_id bigint, text string, marks string, ends array<int>, byte_ends array<int>")
+
+
+BLOCK = 128
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array up to each element. Arrays grow by copying, so it goes block by block: the copying stays within
+    blocks and within the list of block totals, also for texts of very many pieces."""
+    add = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    zero = F.array(F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(numbers) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK)))
+    inner = F.transform(blocks, lambda x: F.aggregate(x, zero, add))
+    totals = F.aggregate(inner, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x, -1))))
+    return F.flatten(F.zip_with(inner, F.slice(totals, F.lit(1), F.size(inner)), lambda x, t: F.transform(F.slice(x, F.lit(2), F.size(x)), lambda n: n + t)))
 
 
 def pattern(first: int, later: int) -> str:
@@ -88,17 +102,20 @@ def split(m: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
         if not 0 <= overlap < capacity:
             raise ValueError(f"overlap {overlap} of capacity {capacity}")
         taken = F.transform(F.regexp_extract_all("marks", F.lit(pattern(capacity, capacity - overlap)), F.lit(0)), lambda s: F.length(s))
-        cuts = F.aggregate(taken, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        cuts = running_sums(taken)
         fits = F.length("marks") > capacity
         return F.when(fits, F.struct(F.lit(capacity).alias("capacity"), F.lit(overlap).alias("overlap"), cuts.alias("cuts")))
 
-    chosen = m.select("doc_id", "text", "marks", "ends", F.explode(F.array_compact(F.array(*[one(*x) for x in limits]))).alias("c"))
-    rows = chosen.select("doc_id", "text", "marks", "ends", "c", F.posexplode(F.slice("c.cuts", F.lit(2), F.size("c.cuts"))).alias("piece", "last"))
-    begin = F.greatest(F.lit(0), F.get("c.cuts", F.col("piece")) - F.col("c.overlap"))
+    chosen = m.select("doc_id", F.col("text").cast("binary").alias("raw"), "marks", "ends", "byte_ends", F.explode(F.array_compact(F.array(*[one(*x) for x in limits]))).alias("c"))
+    rows = chosen.select("*", F.posexplode("c.cuts").alias("piece", "last"))
+    begin = F.when(F.col("piece") == 0, 0).otherwise(F.greatest(F.lit(0), F.get("c.cuts", F.col("piece") - 1) - F.col("c.overlap")))
     inside = F.length(F.regexp_extract(F.substr("marks", F.greatest(F.lit(1), begin), F.lit(4)), r"^x*", 0))
     placed = rows.withColumn("begin", F.when(begin > 0, begin + inside).otherwise(0))
-    placed = placed.withColumns({"start": F.when(F.col("begin") == 0, 0).otherwise(F.get("ends", F.col("begin") - 1)), "end": F.get("ends", F.col("last") - 1)})
-    return placed.select(F.col("c.capacity").alias("capacity"), "doc_id", "piece", "start", "end", (F.col("last") - F.col("begin")).alias("n_tokens"), F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+    at = lambda ends: F.when(F.col("begin") == 0, 0).otherwise(F.get(ends, F.col("begin") - 1))
+    placed = placed.withColumns({"start": at("ends"), "end": F.get("ends", F.col("last") - 1), "from": at("byte_ends"), "to": F.get("byte_ends", F.col("last") - 1)})
+    # bytes are sliced, not characters: finding the n-th character would read the text up to there for every piece
+    text = F.expr("cast(substring(raw, from + 1, to - from) as string)")
+    return placed.select(F.col("c.capacity").alias("capacity"), "doc_id", "piece", "start", "end", (F.col("last") - F.col("begin")).alias("n_tokens"), text.alias("text"))
 
 
 def split_all(documents: DataFrame, token_limits: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, purpose: str = "split") -> DataFrame:

@@ -17,6 +17,14 @@ def test_steps_tokenize_as_the_whole(monkeypatch):
         assert [i for p in T.pieces(text) for i in t.encode(p)] == list(t.encode(text))
 
 
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    rows = [([],), ([5],), (list(range(1, 129)),), (list(range(1, 130)),), ([1] * 1000,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<int>").select(S.running_sums(F.col("a"))).collect()]
+    assert got == [[sum(a[: i + 1]) for i in range(len(a))] for (a,) in rows]
+
+
 def test_pieces(spark):
     rng = random.Random(3)
     texts = {1: "One sentence here. " * 60, 2: "para one\n\n" * 40, 3: "日本語の文章です。" * 50, 4: "😀👍🏽" * 90, 5: "x" * 1500, 6: "short", 7: "", 8: None, 9: "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(400)), 10: "a\r\n\r\nb\r\n" * 60, 11: "<|endoftext|> " * 40}
