@@ -22,29 +22,40 @@ STRENGTHS = ("P", "L", "S", "W")
 LEAST_FILL = 0.5  # of the limit; a stronger boundary is preferred only beyond it
 
 
-def marks(text: str, t: ByteTokenizer) -> tuple[str, list[int], list[int]]:
-    """The boundary character of each token, and the numbers of characters and of bytes up to its end."""
-    raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+def _table(*codes: int) -> np.ndarray:
+    t = np.zeros(256, dtype=bool)
+    t[list(codes)] = True
+    return t
+
+
+BLANK_BYTES, SPACE_BYTES, STOP_BYTES = _table(9, 10, 13, 32), _table(9, 32), _table(*b".!?;}")
+
+
+def marks(text: str, t: ByteTokenizer) -> tuple[str, np.ndarray, np.ndarray | None]:
+    """The boundary character of each token, the numbers of characters up to its end, and those of bytes (null where
+    they are the same)."""
+    raw = np.frombuffer(text.encode("utf-8") + b" ", dtype=np.uint8)  # the blank stands for what follows the text
     ids = np.concatenate([t.encode(p) for p in pieces(text)]) if text else np.zeros(0, dtype=np.int64)
     ends = np.cumsum(t.sizes[ids])
-    starts_char = (raw & 0xC0) != 0x80
-    chars = np.cumsum(starts_char)
-    nxt = np.append(raw, 0x20)[ends]
-    last = raw[ends - 1]
-    before = np.where(ends > 1, raw[np.maximum(ends - 2, 0)], 0)
+    nxt, last = raw[ends], raw[ends - 1]
+    before = np.where(ends > 1, raw[ends - 2], 0)
     newline = (last == 10) | (last == 13) & (nxt != 10)
-    third = np.where(ends > 2, raw[np.maximum(ends - 3, 0)], 0)
+    third = np.where(ends > 2, raw[ends - 3], 0)
     empty = newline & ((before == 10) | (before == 13) & ((last == 13) | (third == 10) | (third == 13)))
-    blank_next = np.isin(nxt, (9, 10, 13, 32))
-    blank = blank_next | np.isin(last, (9, 32))
-    sentence = np.isin(last, tuple(b".!?;}")) & blank_next
-    # full stops of east Asian scripts are three bytes: E3 80 82, EF BC 81, EF BC 9F
-    sentence |= (third == 0xE3) & (before == 0x80) & (last == 0x82) | (third == 0xEF) & (before == 0xBC) & np.isin(last, (0x81, 0x9F))
-    inside = np.append(~starts_char, False)[ends]
-    code = np.full(len(ids), ord("c"), dtype=np.uint8)
-    for mark, where in (("W", blank), ("S", sentence), ("L", newline), ("P", empty), ("x", inside)):
-        code[where] = ord(mark)
-    return code.tobytes().decode("ascii"), chars[ends - 1].tolist() if len(ids) else [], ends.tolist()
+    blank_next = BLANK_BYTES[nxt]
+    sentence = STOP_BYTES[last] & blank_next
+    code = np.where(blank_next | SPACE_BYTES[last], ord("W"), ord("c")).astype(np.uint8)
+    plain = len(raw) - 1 == len(text)
+    if not plain:  # full stops of east Asian scripts are three bytes: E3 80 82, EF BC 81, EF BC 9F
+        sentence |= (third == 0xE3) & (before == 0x80) & (last == 0x82) | (third == 0xEF) & (before == 0xBC) & ((last == 0x81) | (last == 0x9F))
+    code[sentence] = ord("S")
+    code[newline] = ord("L")
+    code[empty] = ord("P")
+    ends = ends.astype(np.int32)
+    if plain:
+        return code.tobytes().decode("ascii"), ends, None
+    code[(nxt & 0xC0) == 0x80] = ord("x")
+    return code.tobytes().decode("ascii"), np.cumsum((raw & 0xC0) != 0x80)[ends - 1].astype(np.int32), ends
 
 
 def marked(documents: DataFrame, more_than: int, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -112,7 +123,7 @@ def split(m: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     inside = F.length(F.regexp_extract(F.substr("marks", F.greatest(F.lit(1), begin), F.lit(4)), r"^x*", 0))
     placed = rows.withColumn("begin", F.when(begin > 0, begin + inside).otherwise(0))
     at = lambda ends: F.when(F.col("begin") == 0, 0).otherwise(F.get(ends, F.col("begin") - 1))
-    placed = placed.withColumns({"start": at("ends"), "end": F.get("ends", F.col("last") - 1), "from": at("byte_ends"), "to": F.get("byte_ends", F.col("last") - 1)})
+    placed = placed.withColumns({"start": at("ends"), "end": F.get("ends", F.col("last") - 1), "from": at(F.coalesce("byte_ends", "ends")), "to": F.get(F.coalesce("byte_ends", "ends"), F.col("last") - 1)})
     # bytes are sliced, not characters: finding the n-th character would read the text up to there for every piece
     text = F.expr("cast(substring(raw, from + 1, to - from) as string)")
     return placed.select(F.col("c.capacity").alias("capacity"), "doc_id", "piece", "start", "end", (F.col("last") - F.col("begin")).alias("n_tokens"), text.alias("text"))

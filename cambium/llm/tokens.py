@@ -21,7 +21,7 @@ class ByteTokenizer:
     sizes: np.ndarray  # bytes of each token
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64) if hasattr(self.encoding, "encode_to_numpy") else np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()))
 
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
