@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cambium.functions.plain import blank, plain_path
 from cambium.operators import spans as S
 from cambium.operators.resolve import Resolver, bucket, first_existing
-from cambium.session import cut
+from cambium.session import cut, ship
 
 # Decorators by which frameworks register what is called from outside.
 ROUTES = frozenset("get post put patch delete options head route add_api_route api_route websocket before_request on_event on_message".split())
@@ -458,6 +458,7 @@ class Extracted:
 
 def extract(sources: DataFrame) -> Extracted:
     """Records of source files (repo, path, text), written once. Rows without repo, path or text give nothing."""
+    ship(sources.sparkSession)
     rows = sources.select("repo", plain_path(F.col("path")).alias("path"), "text").where(F.col("repo").isNotNull() & ~blank(F.col("path")) & F.col("text").isNotNull())
     return Extracted(cut(rows.mapInPandas(_extract, SCHEMA), "extracted"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cambium.functions.plain import blank, plain_kind, plain_path, plain_qname, plain_sha256
 from cambium.functions.signature import member_names, params_of, signature_risk
-from cambium.session import table
+from cambium.session import ship, table
 
 KEY = ["repo", "qname"]
 # Kinds of edges, and how far a way of resolving is trusted.
@@ -203,6 +203,7 @@ def would_break(g: CodeGraph, targets: DataFrame, change: str = "removed") -> Da
     elif change in ("type", "return_type"):
         risk = F.lit("medium")
     elif change == "signature" and have_new:
+        ship(targets.sparkSession)
         t = t.withColumns({"_old": params_of(F.coalesce("signature", F.lit(""))), "_new": params_of(F.coalesce("new_signature", F.lit("")))})
         risk = F.when(blank(new), other).otherwise(signature_risk(F.col("_old"), F.col("_new")))
     elif change == "members" and have_new:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,20 @@ def build_session(name: str = "cambium", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers: its sources are sent to the executors once per context, unless
+    PYTHONPATH leads workers to them anyway."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(sc, "_cambium_shipped", False) or root in {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="cambium-")) / "cambium.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "cambium").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))  # the driver serves it to every executor, late ones too
+    sc._cambium_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session. Only where that is unset (a single
     machine, tests) a local folder is made and remembered in the setting."""
@@ -64,4 +81,5 @@ def drop(*frames: DataFrame) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
