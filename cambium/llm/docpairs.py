@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cambium.functions.plain import plain_path
 from cambium.operators.spans import FINDERS, LANGUAGES, Function, Span, blocks_of, language_of, lex, normalized, python_functions
+from cambium.session import ship
 
 BETWEEN = re.compile(r"\s*(?:(?:@[\w.$]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?|\#!?\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\])\s*)*")
 DIRECTIVE = re.compile(r"\s*(?:go:\w|nolint|lint:|line\s+\S+:\d|export\s+\w+\s*$|\+build|eslint|tslint|prettier|jshint|jslint|istanbul|c8\s|v8\s|@ts-|biome-|noinspection|NOSONAR|noqa|type:\s*ignore|pylint|rustfmt|clippy|@formatter|CHECKSTYLE|webpack\w+:|deno-|<reference|cspell|spell-checker|#nosec|sourcery|swift\w+:)", re.I)
@@ -172,6 +173,7 @@ def documented(documents: DataFrame) -> DataFrame:
 
     Rows with a null doc_id, path or text give nothing; a null repo stays null. Repeated rows give repeated results.
     """
+    ship(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("repo").cast("string").alias("repo"), plain_path(F.col("path")).alias("path"), "text")
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("path").isNotNull() & (F.length("text") > 0))
     rows = rows.where(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*LANGUAGES))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cambium.session import ship
+
 LEAST = 13
 SHARD_WORDS = 2_000_000
 MAX_ITEM_BYTES = 64_000_000  # evaluation items beyond this are refused, as each task holds them
@@ -176,6 +178,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, shard
 
     Null and empty texts, and items of fewer than `least` words, match nothing. Repeated rows give one result. A long
     text stays whole; shards end between documents. Rows of an item that several items share don't count."""
+    ship(documents.sparkSession)
     spark = documents.sparkSession
     items = eval_items.select(F.col("item_id").cast("bigint"), "text").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.llm.tokens import DEFAULT_VOCABULARY, pieces, tokenizer
-from cambium.session import cut
+from cambium.session import cut, ship
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -31,6 +31,7 @@ def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) ->
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [sum(t.count(p) for p in pieces(x)) for x in b["text"]]})
 
+    ship(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     return rows.mapInPandas(count, "doc_id bigint, n_tokens bigint")
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.tokens import DEFAULT_VOCABULARY, ByteTokenizer, pieces, tokenizer
+from cambium.session import ship
 
 STRENGTHS = ("P", "L", "S", "W")
 LEAST_FILL = 0.5  # of the limit; a stronger boundary is preferred only beyond it
@@ -71,6 +72,7 @@ def marked(documents: DataFrame, more_than: int, vocabulary: str = DEFAULT_VOCAB
                     rows.append((doc_id, text, *m))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "marks", "ends", "byte_ends"])
 
+    ship(documents.sparkSession)
     # no text has more tokens than bytes
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(f"doc_id is not null and octet_length(text) > {int(more_than)}")
     return rows.mapInPandas(run, "doc_id bigint, text string, marks string, ends array<int>, byte_ends array<int>")
