@@ -33,3 +33,4 @@ def test_heavy_keys(spark):
     assert {r.target_qname: (r.edges, r.sources) for r in K.dependants(e).collect()}["hot"] == (150, 150)
     assert {r.target_qname: (r.edges, r.definitions) for r in K.dependants_per_target(e, s).collect()}["t1"] == (1, 0)
     assert K.heavy_keys(e.where("false"), s).count() == 0
+    assert K.heavy_keys(e, s, 0.6).count() == 0 and K.heavy_keys(e, s, 150 / 252).count() == 1  # 252 ids, two of them without a key
