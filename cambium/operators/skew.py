@@ -39,27 +39,21 @@ def eager_join_aggregate(
     return out.groupBy(*roll_up).agg(*[F.sum(c).alias(c) for c in ("joined_rows", *sums_l, *sums_r)])
 
 
-def distinct_edges(edges: DataFrame, named: bool = True) -> DataFrame:
+def distinct_edges(edges: DataFrame) -> DataFrame:
     """Edges in plain form, one row an id: `id, repo, source_qname, target_qname, kind`.
 
-    Rows without an id are no edges, and unless `named` is false, neither are those without a repo or target. Should
-    rows of one id differ, the least with a repo and target is taken."""
+    Rows without an id, a repo or a target are no edges. Should rows of one id differ, the least is taken."""
     plain = edges.select("id", "repo", plain_qname(F.col("source_qname")).alias("source_qname"), plain_qname(F.col("target_qname")).alias("target_qname"), plain_kind(F.col("kind")).alias("kind"))
-    nameless = F.col("repo").isNull() | blank(F.col("target_qname"))
-    plain = plain.where(F.col("id").isNotNull()) if not named else plain.where(F.col("id").isNotNull() & ~nameless)
-    return plain.groupBy("id").agg(F.min(F.struct(nameless.alias("nameless"), "repo", "target_qname", "source_qname", "kind")).alias("e")).select("id", "e.repo", "e.source_qname", "e.target_qname", "e.kind")
-
-
-def _target_states(edges: DataFrame, symbols: DataFrame, named: bool) -> DataFrame:
-    e = distinct_edges(edges.select("id", "repo", F.lit(None).cast("string").alias("source_qname"), "target_qname", F.lit(None).cast("string").alias("kind")), named).select("repo", "target_qname")
-    s = symbols.select("repo", plain_qname(F.col("qname")).alias("target_qname"), F.col("removed_at").isNull().cast("bigint").alias("live"))
-    return eager_join_aggregate(e, s, ["repo", "target_qname"], right_sums={"live_pairs": F.col("live")}, how="left")
+    plain = plain.where(F.col("id").isNotNull() & F.col("repo").isNotNull() & ~blank(F.col("target_qname")))
+    return plain.groupBy("id").agg(F.min(F.struct("repo", "target_qname", "source_qname", "kind")).alias("e")).select("id", "e.*")
 
 
 def dependants_per_target(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per (repo, target_qname): `edges` (distinct ids), `definitions` (symbol rows of that key), and the sums over
     edge-definition pairs `pairs` and `live_pairs`. Targets without a symbol have definitions 0."""
-    joined = _target_states(edges, symbols, named=True)
+    e = distinct_edges(edges.select("id", "repo", F.lit(None).cast("string").alias("source_qname"), "target_qname", F.lit(None).cast("string").alias("kind"))).select("repo", "target_qname")
+    s = symbols.select("repo", plain_qname(F.col("qname")).alias("target_qname"), F.col("removed_at").isNull().cast("bigint").alias("live"))
+    joined = eager_join_aggregate(e, s, ["repo", "target_qname"], right_sums={"live_pairs": F.col("live")}, how="left")
     return joined.select("repo", "target_qname", F.col("left_rows").alias("edges"), F.col("right_rows").alias("definitions"), F.col("joined_rows").alias("pairs"), F.coalesce("live_pairs", F.lit(0)).alias("live_pairs"))
 
 
@@ -74,7 +68,5 @@ def dependants(edges: DataFrame) -> DataFrame:
 def heavy_keys(edges: DataFrame, symbols: DataFrame, share: float = 0.01) -> DataFrame:
     """`repo, target_qname` of the targets that hold at least `share` of all distinct edge ids, those of edges without a
     repo or target included."""
-    per_key = _target_states(edges, symbols, named=False)
-    total = per_key.agg(F.sum("left_rows")).scalar()
-    heavy = per_key.where(F.col("repo").isNotNull() & ~blank(F.col("target_qname")) & (F.col("left_rows") >= total * share))
-    return heavy.select("repo", "target_qname")
+    total = edges.agg(F.count_distinct("id")).scalar()
+    return dependants_per_target(edges, symbols).where(F.col("edges") >= total * share).select("repo", "target_qname")
