@@ -2,9 +2,9 @@
 
 Layout statistics of the text (longest and mean line, shares of blanks and alphanumerics, density of numeric
 literals, share of long encoded runs) are thresholded per language. What layout can't show is read from conventions:
-names and folders that tools reserve for their output or for third-party code, banners at the start of comments, and
-helpers only compilers emit. Library files that lie elsewhere under another name are found by content: a file most of
-whose lines occur in one known library, and in no other, is a copy of it.
+names and folders that tools reserve for their output or for third-party code, banners at the start of comments anywhere in
+the text, and helpers only compilers emit. Library files that lie elsewhere under another name are found by content: a
+file most of whose lines occur in one known library, and in no other, is a copy of it.
 
 Everything runs in the JVM. The text is read once and never shuffled; what is shuffled are line hashes.
 """
@@ -79,7 +79,16 @@ DIGITS = 0.12  # tables of numbers have more; prose and code have a few hundredt
 
 # Words without which none of the patterns above can match; looked for first, as plain substrings of the lower-cased text.
 GENERATED_HINTS = ("generat", "automat", "machine", "généré", "genere", "g\u00e9n", "自动", "自動", "autom\u00e1t", "created", "produced", "emitted", "written")
-BANNER_HINTS = ("vendored", "imported", "verbatim", "unchanged", "library", "upstream", "filecopyrighttext", "part of", "|")
+# One set for each of LIBRARY_BANNERS; each set needs one of its words.
+BANNER_HINTS = (
+    (("vendored from", "unchanged from", "verbatim from"),),
+    (("|",), ("(c)", "copyright", "©")),
+    ((" - a",), ("library",)),
+    (("upstream",),),
+    (("spdx-filecopyrighttext",),),
+    (("this file is part of",),),
+)
+OWNER_HINTS = ((" contributors", " authors", " developers"), ("copyright", "(c)"))
 COMPILED_HINTS = ("__", "parcelRequire", "_interop")
 
 COPY_SHARE = 0.6  # of a file's distinct long lines; own code stays near a quarter, copies near all
@@ -128,6 +137,13 @@ def _any(text: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
+def _each(text: Column, sets: tuple[tuple[str, ...], ...]) -> Column:
+    out = F.lit(True)
+    for parts in sets:
+        out = out & _any(text, parts)
+    return out
+
+
 def _any_start(text: Column, parts: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -152,10 +168,10 @@ def judged(documents: DataFrame) -> DataFrame:
     cheap, costly = layout(t)
     d = d.withColumns(cheap | {"low": F.lower(t)}).withColumns(costly)
     path_library = F.nullif(F.regexp_extract("path", LIBRARY_OF_PATH, 1), F.lit(""))
-    head, low_head = F.substring(t, 1, 2000), F.substring("low", 1, 2000)
-    banner = F.when(_any(low_head, BANNER_HINTS), F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in LIBRARY_BANNERS]))
-    owner = F.when(_any(low_head, ("copyright", "(c)")), F.nullif(F.regexp_extract(head, OWNER_BANNER, 1), F.lit("")))
-    generated = _any(F.col("low"), GENERATED_HINTS) & t.rlike(GENERATED)
+    low = F.col("low")
+    banner = F.coalesce(*[F.when(_each(low, hints), F.nullif(F.regexp_extract(t, p, 1), F.lit(""))) for p, hints in zip(LIBRARY_BANNERS, BANNER_HINTS, strict=True)])
+    owner = F.when(_each(low, OWNER_HINTS), F.nullif(F.regexp_extract(t, OWNER_BANNER, 1), F.lit("")))
+    generated = _any(low, GENERATED_HINTS) & t.rlike(GENERATED)
     data = F.coalesce(_by_language(lambda x: (((F.col("numbers") >= x.numbers) | (F.col("encoded") >= x.encoded) & (F.col("alnum") >= x.alnum)) & (F.col("statements") <= x.statements) & (F.length(t) >= x.size))), F.lit(False))
     minified = _by_language(lambda x: (F.col("longest") >= x.longest) & ((F.col("mean") >= x.mean) | (F.col("blanks") <= x.blanks)))
     no_text = ("import ", "from ", "use ", "package ", "//", "#", "*", "/*")

@@ -64,3 +64,16 @@ def test_hand_written_keeps_columns(spark):
     df = spark.createDataFrame([(1, "r", "vendor/x/a.py", "x", 1, "k"), (2, "r", "a.py", "y = 1", 2, "k"), (3, "r", None, "prose", 2, "k")], SCHEMA)
     left = H.hand_written(df)
     assert left.columns == df.columns and [r.doc_id for r in left.collect()] == [2]
+
+
+def test_banners_far_from_the_top(spark):
+    licence = "".join(f"# Clause {i}: the terms of this licence hold for every copy of the work.\n" for i in range(60))
+    rows = [
+        ("r", "src/header.py", licence + "# Vendored from farlib 1.2\n\n" + code(50, 51, 52, 53)),
+        ("r", "src/end.py", "".join(FUNCTION.format(i) for i in range(60, 80)) + "# This file is part of endlib.\n"),
+        ("r", "vendor/tidy/util.py", code(20)),
+        ("r", "src/owner.py", licence + "# Copyright the tidy authors\n" + code(34)),
+        ("q", "src/copy.py", code(50, 51, 52, 53)),
+        ("q", "src/own.py", licence + code(81, 82)),
+    ]
+    assert judge(spark, rows) == {("r", "src/header.py"): "vendored", ("r", "src/end.py"): "vendored", ("r", "vendor/tidy/util.py"): "vendored", ("r", "src/owner.py"): "vendored", ("q", "src/copy.py"): "copied"}
