@@ -2,8 +2,8 @@
 
 Theta conditions are turned into equalities: the suffixes of modules and the prefixes of names are exploded once and
 joined by key. Each rule gives candidates with a rank, the least rank wins, so the cascade is one grouped minimum and
-no rule depends on the order in which tasks run. Inheritance, star exports and bindings are walked a bounded number
-of steps.
+no rule depends on the order in which tasks run. Inheritance and bindings are walked a bounded number of steps,
+star exports to their end.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cambium.session import cut
+from cambium.session import cut, drop
 
 # Receivers, roots that are only known at run time, and the bounds of the walks.
 RECEIVERS = ("self", "cls", "this", "type")
@@ -83,14 +83,17 @@ def class_chain(bases: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
     return once.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < most).select("repo", "cls", "ancestor", "pos")
 
 
-def star_closure(stars: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
-    """`repo, module, reach`: each re-exporting module, itself and what its star exports (repo, module, target) lead to."""
-    level = stars.select("repo", "module").distinct().select("repo", "module", F.col("module").alias("reach"))
-    out, step = level, stars.select("repo", F.col("module").alias("reach"), F.col("target").alias("to")).distinct()
-    for _ in range(most):
-        level = level.join(step, ["repo", "reach"]).select("repo", "module", F.col("to").alias("reach")).distinct()
-        out = out.unionByName(level).distinct()
-    return out
+def star_closure(stars: DataFrame) -> DataFrame:
+    """`repo, module, reach`: each re-exporting module, itself and all that its star exports (repo, module, target) lead to.
+    A round takes one more step from the pairs that were new in the last; written each time, so that plans stay small."""
+    step = cut(stars.select("repo", F.col("module").alias("reach"), F.col("target").alias("to")).distinct(), "stars")
+    out, k = cut(step.select("repo", F.col("reach").alias("module")).distinct().select("repo", "module", F.col("module").alias("reach"), F.lit(0).alias("k")), "reach"), 0
+    while not out.where(F.col("k") == k).isEmpty():
+        more = out.where(F.col("k") == k).join(step, ["repo", "reach"]).select("repo", "module", F.col("to").alias("reach")).distinct()
+        more = more.join(out, ["repo", "module", "reach"], "left_anti").withColumn("k", F.lit(k + 1))
+        last, out, k = out, cut(out.unionByName(more), "reach"), k + 1
+        drop(last)
+    return out.drop("k")
 
 
 class Resolver:
@@ -189,24 +192,31 @@ class Resolver:
             all_ = all_.unionByName(c)
         return self._best(all_)
 
-    def resolve_bound(self, raw: DataFrame, bindings: DataFrame, steps: int = 2) -> DataFrame:
+    def resolve_bound(self, raw: DataFrame, bindings: DataFrame, steps: int = MAX_BINDING_STEPS) -> DataFrame:
         """As `resolve`, with names bound to constructible symbols tried first (method attr). `bindings`: repo, module,
         owner, local, target, annotation, pos; the greatest pos of an owner and name counts. Bindings that refer to other bindings
-        are followed `steps` times."""
-        steps = min(steps, MAX_BINDING_STEPS)
+        are followed `steps` times, or until nothing changes."""
         b = bindings.groupBy("repo", "module", "owner", "local").agg(F.max_by(F.struct("target", "annotation"), "pos").alias("v")).select("repo", "module", "owner", "local", "v.target", "v.annotation")
         b = b.where("target is not null and target <> '' and target <> local").withColumn("bid", F.xxhash64("repo", "module", "owner", "local"))
+        # a function's targets are seen from the function itself, a class's from a member of it
+        classes = self.symbols.where("kind = 'class'").select("repo", F.col("qname").alias("owner"), F.lit(True).alias("_class")).distinct()
+        b = b.join(classes, ["repo", "owner"], "left").withColumn("source", F.when(F.col("_class"), F.concat_ws(".", "owner", F.lit("_"))).otherwise(F.col("owner"))).drop("_class")
         b = cut(b, "bindings")
-        ask = b.select(F.col("bid").alias("id"), "repo", "module", F.concat_ws(".", "owner", F.lit("_")).alias("source"), "target")
-        roots = self.resolve(ask).select(F.col("id").alias("bid"), F.col("hit").alias("root"))
-        known = cut(b.join(roots, "bid", "left"), "roots")
-        for _ in range(steps - 1):
-            more = self._bound(known.where("root is null").select(F.col("bid").alias("id"), "repo", "module", F.concat_ws(".", "owner", F.lit("_")).alias("source"), "target"), known)
-            known = cut(known.join(more.select(F.col("id").alias("bid"), F.col("hit").alias("_more")), "bid", "left").withColumn("root", F.coalesce("root", "_more")).drop("_more"), "roots")
-        names = known.where("root is null and annotation is not null").select("bid", "repo", "module", "owner", F.posexplode(_names("annotation")).alias("k", "target")).withColumn("id", F.xxhash64("bid", "k"))
-        typed = self.resolve(names.select("id", "repo", "module", F.concat_ws(".", "owner", F.lit("_")).alias("source"), "target")).join(names.select("id", "bid", "k"), "id")
+        ask = b.select(F.col("bid").alias("id"), "repo", "module", "source", "target")
+        roots = self.resolve(ask).select(F.col("id").alias("bid"), F.col("hit").alias("base"))
+        b = cut(b.join(roots, "bid", "left"), "roots")
+        names = b.where("base is null and annotation is not null").select("bid", "repo", "module", "source", F.posexplode(_names("annotation")).alias("k", "target")).withColumn("id", F.xxhash64("bid", "k"))
+        typed = self.resolve(names.select("id", "repo", "module", "source", "target")).join(names.select("id", "bid", "k"), "id")
         typed = typed.groupBy("bid").agg(F.min_by("hit", "k").alias("_typed"))
-        known = cut(known.join(typed, "bid", "left").withColumn("root", F.coalesce("root", "_typed")).drop("_typed"), "roots")
+        known = cut(b.join(typed, "bid", "left").withColumn("base", F.coalesce("base", "_typed")).drop("_typed").withColumn("root", F.col("base")), "roots")
+        for _ in range(steps):
+            more = self._bound(ask, known).select(F.col("id").alias("bid"), F.col("hit").alias("_more"))
+            # dotted targets go by bindings first, as references do
+            root = F.when(F.col("target").contains("."), F.coalesce("_more", "base")).otherwise(F.coalesce("base", "_more"))
+            known = cut(known.withColumnRenamed("root", "_last").join(more, "bid", "left").withColumn("root", root).withColumn("_new", ~F.col("root").eqNullSafe(F.col("_last"))).drop("_more", "_last"), "roots")
+            if known.where("_new").isEmpty():
+                break
+            known = known.drop("_new")
         bound = cut(self._bound(raw, known), "attr")
         rest = self.resolve(raw.join(bound, "id", "left_anti"))
         return bound.unionByName(rest)

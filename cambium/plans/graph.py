@@ -502,7 +502,7 @@ def unresolved_from_text(spark, d):
 
 @query(_WITH.replace("with ", "with recursive ", 1) + ", st as (select distinct e.repo, e.source_qname m, e.target_qname t from edg e join sym a on a.repo = e.repo and a.qname = e.source_qname and a.kind = 'module' join sym b on b.repo = e.repo and b.qname = e.target_qname and b.kind = 'module' where e.kind = 'imports' and e.method = 'static'), up as (select distinct repo, m as module, m reach, 0 k from st union select u.repo, u.module, s.t, u.k + 1 from up u join st s on s.repo = u.repo and s.m = u.reach where u.k < 10) select distinct repo, module, reach from up")
 def star_closure(spark, d):
-    """Modules each module leads to over static imports of modules, up to ten steps."""
+    """Modules each module leads to over static imports of modules."""
     g = G.load_graph(spark, d)
     m = g.symbols.where("kind = 'module'").select("repo", "qname")
     e = g.edges.where("kind = 'imports' and method = 'static'").join(m.withColumnRenamed("qname", "source_qname"), ["repo", "source_qname"]).join(m.withColumnRenamed("qname", "target_qname"), ["repo", "target_qname"])

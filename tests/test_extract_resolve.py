@@ -80,3 +80,16 @@ def test_empty(spark):
     x = X.extract(spark.createDataFrame([], "repo string, path string, text string"))
     edges, open_ = X.resolved(x)
     assert edges.count() == 0 and open_.count() == 0
+
+
+def test_chains_of_bindings_and_star_exports(spark):
+    py = {
+        "lib/__init__.py": "", "lib/n/__init__.py": "", "lib/n/m.py": "class K:\n    def run(self):\n        pass\n",
+        "top.py": "from lib import n\n\nclass Top:\n    def __init__(self):\n        self.x = n\n\n    def go(self):\n        a = self.x\n        b = a.m\n        c = b.K()\n        c.run()\n",
+    }
+    stars = {f"lib/m{i}.ts": f"export * from './m{i + 1}';\n" for i in range(14)} | {"lib/m14.ts": "export const far = (n: number) => { return n; };\n", "lib/m15.ts": "export const far = (n: number) => { return n; };\n", "lib/use.ts": "import { far } from './m0';\nexport function use() { far(1); }\n"}
+    rows = [(repo, p, t) for repo, files in (("c", py), ("s", stars)) for p, t in files.items()]
+    edges, _ = X.resolved(X.extract(spark.createDataFrame(rows, "repo string, path string, text string")))
+    e = {(r.source, r.target, r.kind): r.method for r in edges.collect()}
+    assert e[("top.Top.go", "lib.n.m.K.run", "calls")] == "attr"
+    assert e[("lib.use.use", "lib.m14.far", "calls")] == "import"  # fourteen star exports away; the name isn't unique
