@@ -30,7 +30,7 @@ class Layout:
     encoded: float = 0.45  # data: share of characters in long encoded runs at least this
     alnum: float = 0.80  # data: alphanumeric share at least this, with encoded runs
     statements: int = 3  # data: at most so many statements
-    size: int = 400  # data: characters at least; a single constant is no table
+    literals: int = 12  # numbers as data: so many at least; a few constants are no table
 
 
 # Braced languages leave less blank than Python; JavaScript is the one that is minified on purpose.
@@ -75,8 +75,6 @@ LIBRARY_BANNERS = (
 # A banner that own code carries too; it counts where the named owner is a known library.
 OWNER_BANNER = MARK + rf"(?:\(c\)|copyright)(?: \(c\))?(?: \d{{4}}(?:-\d{{4}})?)?(?: by)? (?:the )?{_LIB} (?:contributors|authors|developers)"
 
-DIGITS = 0.12  # tables of numbers have more; prose and code have a few hundredths
-
 # Words without which none of the patterns above can match; looked for first, as plain substrings of the lower-cased text.
 GENERATED_HINTS = ("generat", "automat", "machine", "généré", "genere", "g\u00e9n", "自动", "自動", "autom\u00e1t", "created", "produced", "emitted", "written")
 # One set for each of LIBRARY_BANNERS; each set needs one of its words.
@@ -109,25 +107,28 @@ def _share(text: Column, pattern: str) -> Column:
     return F.when(n > 0, (n - F.length(F.regexp_replace(text, pattern, ""))) / n).otherwise(F.lit(0.0))
 
 
-def layout(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Statistics of a text whose line ends are \\n. The costly ones are taken only where a cheap one leaves them a chance:
-    numbers where at least DIGITS of the text are digits, statements where the text may be data; else they are null."""
+def layout(text: Column) -> tuple[dict[str, Column], ...]:
+    """Statistics of a text whose line ends are \\n, in the order in which they build on each other. The costly ones are
+    taken only where the result still hangs on them, else they are null: statements are counted up to one more than data may
+    have, numbers only where there are no more and any digit is present."""
     n = F.greatest(F.length(text), F.lit(1))
+    most, least = max(x.statements for x in (Layout(), *LAYOUTS.values())), min(x.literals for x in (Layout(), *LAYOUTS.values()))
     # a drawing kept in one string or comment is no table of numbers, nor is its line minified
     bare = F.regexp_replace(text, r"(?m)^[^\"\n]{0,80}\"[^\"\n]{100,}\"[^\"\n]{0,10}$|^[ \t]*(?://|#).*$", "")
-    lengths = F.transform(F.split(bare, "\n"), lambda x: F.length(x))
-    numbers = F.regexp_count(bare, F.lit(NUMBER)) / F.greatest(F.regexp_count(bare, F.lit(r"\w+(?:\.\d+)?")), F.lit(1))
-    return {
+    lengths = F.transform(F.split(F.col("bare"), "\n"), lambda x: F.length(x))
+    return {"bare": bare}, {
         "longest": F.coalesce(F.array_max(lengths), F.lit(0)),
-        "mean": F.length(bare) / F.greatest(F.size(F.filter(lengths, lambda k: k > 0)), F.lit(1)),
+        "mean": F.length("bare") / F.greatest(F.size(F.filter(lengths, lambda k: k > 0)), F.lit(1)),
         "blanks": (n - F.length(F.translate(text, " \t\n\f\u00a0", ""))) / n,
         "digits": (n - F.length(F.translate(text, "0123456789", ""))) / n,
         "encoded": _share(text, ENCODED),
+        "statements": F.size(F.split(text, STATEMENT, most + 2)) - 1,
     }, {
-        "numbers": F.when(F.col("digits") >= DIGITS, numbers),
+        "literals": F.when((F.col("digits") > 0) & (F.col("statements") <= most), F.regexp_count("bare", F.lit(NUMBER))),
         "alnum": F.when(F.col("encoded") > 0, _share(text, r"[A-Za-z0-9]+")),
-        "statements": F.when((F.col("encoded") > 0.1) | (F.coalesce(F.col("digits"), F.lit(0.0)) >= DIGITS), F.regexp_count(text, F.lit(STATEMENT))),
-    }
+    }, {
+        "numbers": F.when(F.col("literals") >= least, F.col("literals") / F.greatest(F.regexp_count("bare", F.lit(r"\w+(?:\.\d+)?")), F.lit(1))),
+    }
 
 
 def _any(text: Column, parts: tuple[str, ...]) -> Column:
@@ -165,14 +166,15 @@ def judged(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", "repo", plain_path(F.col("path")).alias("path"), F.coalesce("text", F.lit("")).alias("text")).where(~blank(F.col("path")) & F.col("repo").isNotNull())
     d = d.withColumn("text", F.translate(F.regexp_replace("text", "\r\n?|[\u2028\u2029]", "\n"), INVISIBLE, "")).withColumn("language", _language(F.col("path")))
     t = F.col("text")
-    cheap, costly = layout(t)
-    d = d.withColumns(cheap | {"low": F.lower(t)}).withColumns(costly)
+    d = d.withColumn("low", F.lower(t))
+    for statistics in layout(t):
+        d = d.withColumns(statistics)
     path_library = F.nullif(F.regexp_extract("path", LIBRARY_OF_PATH, 1), F.lit(""))
     low = F.col("low")
     banner = F.coalesce(*[F.when(_each(low, hints), F.nullif(F.regexp_extract(t, p, 1), F.lit(""))) for p, hints in zip(LIBRARY_BANNERS, BANNER_HINTS, strict=True)])
     owner = F.when(_each(low, OWNER_HINTS), F.nullif(F.regexp_extract(t, OWNER_BANNER, 1), F.lit("")))
     generated = _any(low, GENERATED_HINTS) & t.rlike(GENERATED)
-    data = F.coalesce(_by_language(lambda x: (((F.col("numbers") >= x.numbers) | (F.col("encoded") >= x.encoded) & (F.col("alnum") >= x.alnum)) & (F.col("statements") <= x.statements) & (F.length(t) >= x.size))), F.lit(False))
+    data = F.coalesce(_by_language(lambda x: ((F.col("numbers") >= x.numbers) & (F.col("literals") >= x.literals) | (F.col("encoded") >= x.encoded) & (F.col("alnum") >= x.alnum)) & (F.col("statements") <= x.statements)), F.lit(False))
     minified = _by_language(lambda x: (F.col("longest") >= x.longest) & ((F.col("mean") >= x.mean) | (F.col("blanks") <= x.blanks)))
     no_text = ("import ", "from ", "use ", "package ", "//", "#", "*", "/*")
     squeezed = F.split(F.regexp_replace(t, "[ \t]+", " "), "\n ?")

@@ -77,3 +77,15 @@ def test_banners_far_from_the_top(spark):
         ("q", "src/own.py", licence + code(81, 82)),
     ]
     assert judge(spark, rows) == {("r", "src/header.py"): "vendored", ("r", "src/end.py"): "vendored", ("r", "vendor/tidy/util.py"): "vendored", ("r", "src/owner.py"): "vendored", ("q", "src/copy.py"): "copied"}
+
+
+def test_tables_of_few_digits_and_small_ones(spark):
+    names = [a + b + "istan" for a in ("afghan", "turkmen", "uzbek", "kyrgyz", "kazakh") for b in ("", "o", "u", "e", "i", "y")]
+    rows = [
+        ("r", "data/ranks.py", "RANKS = {\n" + "".join(f'    "{n}": {i % 9},\n' for i, n in enumerate(names * 3)) + "}\n"),
+        ("r", "data/small.py", "T = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3]\n"),
+        ("r", "data/blob.rs", 'pub static K: &str = "' + "aZ3k9QxB" * 20 + '";\n'),
+        ("r", "src/limits.py", "WIDTH = 80\nHEIGHT = 24\nDEPTH = 3\n"),
+        ("r", "src/code.py", code(1, 2)),
+    ]
+    assert judge(spark, rows) == {("r", "data/ranks.py"): "data", ("r", "data/small.py"): "data", ("r", "data/blob.rs"): "data"}
