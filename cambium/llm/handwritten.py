@@ -4,7 +4,7 @@ Layout statistics of the text (longest and mean line, shares of blanks and alpha
 literals, share of long encoded runs) are thresholded per language. What layout can't show is read from conventions:
 names and folders that tools reserve for their output or for third-party code, banners at the start of comments anywhere in
 the text, and helpers only compilers emit. Library files that lie elsewhere under another name are found by content: a
-file most of whose lines occur in one known library, and in no other, is a copy of it.
+file most of whose lines occur in one known library, and in no other, or whose whole content is a library file's, is a copy of it.
 
 Everything runs in the JVM. The text is read once and never shuffled; what is shuffled are line hashes.
 """
@@ -162,7 +162,7 @@ def _by_language(rule) -> Column:
 def judged(documents: DataFrame) -> DataFrame:
     """Documents with a repo and path, with what text and path alone tell: `doc_id, repo, path, language`, the layout
     statistics, `generated`, `minified`, `data`, `third_party`, `library`, `owner`, and `lines`, hashes of the distinct
-    long lines. Null and empty texts are judged by path."""
+    long lines, and `whole`, a hash of all lines but imports and comments (null without any). Null and empty texts are judged by path."""
     d = documents.select("doc_id", "repo", plain_path(F.col("path")).alias("path"), F.coalesce("text", F.lit("")).alias("text")).where(~blank(F.col("path")) & F.col("repo").isNotNull())
     d = d.withColumn("text", F.translate(F.regexp_replace("text", "\r\n?|[\u2028\u2029]", "\n"), INVISIBLE, "")).withColumn("language", _language(F.col("path")))
     t = F.col("text")
@@ -179,6 +179,7 @@ def judged(documents: DataFrame) -> DataFrame:
     no_text = ("import ", "from ", "use ", "package ", "//", "#", "*", "/*")
     squeezed = F.split(F.regexp_replace(t, "[ \t]+", " "), "\n ?")
     long_lines = F.filter(squeezed, lambda x: (F.length(x) > LONG_LINE) & ~_any_start(x, no_text))
+    body = F.filter(F.transform(squeezed, lambda x: F.trim(x)), lambda x: (x != "") & ~_any_start(x, no_text))
     return d.select(
         "doc_id", "repo", "path", "language", "longest", "mean", "blanks", "digits", "alnum", "numbers", "encoded", "statements",
         (F.col("path").rlike(GENERATED_PATH) | generated | _any(t, COMPILED_HINTS) & t.rlike(COMPILED) | t.contains("ields") & (F.regexp_count(t, F.lit(ACCESSOR)) >= 5)).alias("generated"),
@@ -188,6 +189,7 @@ def judged(documents: DataFrame) -> DataFrame:
         F.lower(F.coalesce(banner, path_library)).alias("library"),
         F.lower(owner).alias("owner"),
         F.array_distinct(F.transform(long_lines, lambda x: F.xxhash64(x))).alias("lines"),
+        F.when(F.size(body) > 0, F.xxhash64(F.array_join(body, "\n"))).alias("whole"),
     )
 
 
@@ -205,12 +207,18 @@ def machine_made(documents: DataFrame, files: DataFrame | None = None) -> DataFr
     owned = all_.where("not third_party and owner is not null").join(names, "owner", "left_semi").select("doc_id", F.lit(True).alias("by_owner")).distinct()
     known = all_.join(owned, "doc_id", "left").withColumn("third_party", F.col("third_party") | F.coalesce("by_owner", F.lit(False)))
     plain = ~(F.col("generated") | F.col("minified") | F.col("data"))
-    library = F.coalesce("library", "owner", F.concat_ws("/", "repo", "path"))
-    of_libraries = known.where(F.col("third_party") & plain).select(F.explode("lines").alias("line"), library.alias("lib"))
+    # a library without folder or banner goes by its file's name, the same for all files of the same content
+    libraries = known.where(F.col("third_party") & plain).select("lines", "whole", F.coalesce("library", "owner").alias("named"), F.lower(F.regexp_extract("path", r"[^/]+$", 0)).alias("file"))
+    same = libraries.where("named is null and whole is not null").groupBy("whole").agg(F.min("file").alias("first"))
+    libraries = libraries.join(same, "whole", "left").select("lines", "whole", F.coalesce("named", "first", "file").alias("lib"))
+    of_libraries = libraries.select(F.explode("lines").alias("line"), "lib")
+    # files of a library's content, of any length; without long lines only of one library, else it is a common idiom
+    wholes = libraries.where("whole is not null").groupBy("whole").agg(F.min("lib").alias("lib"), F.max("lib").alias("other"), F.max(F.size("lines")).alias("n")).where("n > 0 or lib = other").select("whole")
+    same_whole = known.where(~F.col("third_party") & plain).join(wholes, "whole", "left_semi").select("doc_id", F.lit(True).alias("copied"))
     # lines of exactly one library: common idioms drop out, and a line matches at most one row
     telling = of_libraries.groupBy("line").agg(F.min("lib").alias("lib"), F.max("lib").alias("other")).where("lib = other").select("line", "lib")
     rest = known.where(~F.col("third_party") & plain & (F.size("lines") >= 3)).select("doc_id", F.size("lines").alias("n"), F.explode("lines").alias("line"))
-    copied = rest.join(telling, "line").groupBy("doc_id", "lib").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= F.col("n") * COPY_SHARE).select("doc_id", F.lit(True).alias("copied")).distinct()
+    copied = rest.join(telling, "line").groupBy("doc_id", "lib").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= F.col("n") * COPY_SHARE).select("doc_id", F.lit(True).alias("copied")).unionByName(same_whole).distinct()
     reason = F.when(F.col("generated"), "generated").when(F.col("minified"), "minified").when(F.col("data"), "data").when(F.col("third_party"), "vendored").when(F.col("copied"), "copied")
     found = known.join(copied, "doc_id", "left").select("repo", "path", reason.alias("reason")).where("reason is not null").groupBy("repo", "path").agg(F.min("reason").alias("reason"))
     if files is None:

@@ -89,3 +89,14 @@ def test_tables_of_few_digits_and_small_ones(spark):
         ("r", "src/code.py", code(1, 2)),
     ]
     assert judge(spark, rows) == {("r", "data/ranks.py"): "data", ("r", "data/small.py"): "data", ("r", "data/blob.rs"): "data"}
+
+
+def test_short_copies_and_libraries_without_names(spark):
+    short = "class Pool9:\n    least_connections_kept_open = 4\n"
+    rows = [
+        ("r", "external/lite/Pool9.py", short), ("q", "src/pools.py", "# copied\n" + short), ("q", "src/other.py", "class Pool8:\n    most_connections_kept_open = 9\n"),
+        ("r", "vendor/foo.py", code(20, 21, 22, 23)), ("q", "vendor/foo.py", code(20, 21, 22, 23)), ("s", "vendor/bar.py", code(20, 21, 22, 23)), ("q", "src/renamed.py", code(20, 21, 22, 23)[:-80]),
+        ("r", "vendor/one/__init__.py", "x = 1\n"), ("r", "vendor/two/__init__.py", "x = 1\n"), ("q", "src/idiom.py", "x = 1\n"),
+        ("r", "vendor/one/empty.py", ""), ("q", "src/empty.py", ""),
+    ]
+    assert {k: v for k, v in judge(spark, rows).items() if v == "copied"} == {("q", "src/pools.py"): "copied", ("q", "src/renamed.py"): "copied"}
