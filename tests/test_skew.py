@@ -34,3 +34,25 @@ def test_heavy_keys(spark):
     assert {r.target_qname: (r.edges, r.definitions) for r in K.dependants_per_target(e, s).collect()}["t1"] == (1, 0)
     assert K.heavy_keys(e.where("false"), s).count() == 0
     assert K.heavy_keys(e, s, 0.6).count() == 0 and K.heavy_keys(e, s, 150 / 252).count() == 1  # 252 ids, two of them without a key
+
+
+def test_heavy_keys_join_two_aggregates(spark, monkeypatch):
+    e = spark.createDataFrame([(i, "r", "s", f"t{i % 3}", "calls", 0) for i in range(30)], EDGE)
+    s = spark.createDataFrame([("r", "t0", None), ("r", "t0", None), ("r", "t1", None)], SYM)
+    plans = []
+
+    def keep(df, label=""):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(K, "cut", keep)
+    assert {r.target_qname for r in K.heavy_keys(e, s).collect()} == {"t0", "t1", "t2"}
+    (plan,) = plans
+    join = plan[plan.index("Join") :]
+    assert join.count("Aggregate") == 2 and "removed_at" in join and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_repeats_do_not_make_a_key_heavy(spark):
+    rows = [(1, "r", "s", "often", "calls", 0)] * 50 + [(i, "r", "s", "many", "calls", 0) for i in range(2, 12)]
+    e, s = spark.createDataFrame(rows, EDGE), spark.createDataFrame([], SYM)
+    assert [r.target_qname for r in K.heavy_keys(e, s, 0.5).collect()] == ["many"]
