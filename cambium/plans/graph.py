@@ -259,9 +259,11 @@ from hits h join sym s on s.repo = h.repo and s.qname = h.source_qname where not
 
 
 def _last_changes(spark: SparkSession, d: str) -> DataFrame:
-    runs = incremental.ok_runs(table(spark, d, "index_runs")).where("seq = last").select("run_id", "repo")
-    found = incremental.changed_paths(table(spark, d, "files"), table(spark, d, "index_runs"))
-    return found.join(runs, "run_id").groupBy("repo", "path").agg(F.max(F.col("change") == "removed").alias("gone"))
+    """Changes of the last run of each root; earlier listings than the one before it aren't read."""
+    runs = incremental.ok_runs(table(spark, d, "index_runs")).where("seq >= last - 1")
+    found = incremental.run_changes(incremental.listings(table(spark, d, "files"), runs))
+    last = runs.where("seq = last").select("repo", "root", "seq")
+    return found.join(last, ["repo", "root", "seq"], "left_semi").groupBy("repo", "path").agg(F.max(F.col("change") == "removed").alias("gone"))
 
 
 @query(_SURFACE)
@@ -327,7 +329,8 @@ nw as (select * from lst where age = 1 and rn = 1 and not deleted), od as (selec
 
 
 def _snapshot(spark: SparkSession, d: str, age: int) -> DataFrame:
-    listed = incremental.listings(table(spark, d, "files"), table(spark, d, "index_runs"), 1).where(F.col("seq") == F.col("last") - (age - 1))
+    runs = incremental.ok_runs(table(spark, d, "index_runs")).where(F.col("seq") == F.col("last") - (age - 1))
+    listed = incremental.listings(table(spark, d, "files"), runs)
     modules = table(spark, d, "files").select("run_id", plain_path(F.col("path")).alias("path"), "module_qname").groupBy("run_id", "path").agg(F.max("module_qname").alias("module_qname"))
     rows = listed.groupBy("repo", "run_id", "path").agg(F.max(F.struct("recorded_at", "deleted", "sha256")).alias("r")).where("not r.deleted")
     return rows.join(modules, ["run_id", "path"]).select("repo", "path", "r.sha256", "module_qname")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cambium.functions.plain import plain_kind, plain_qname
 from cambium.operators import hierarchy as H
 from cambium.operators import incremental, references, skew
-from cambium.session import table
+from cambium.session import scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,29 @@ def p1_changes(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("run_id", "change").agg(F.count("*").alias("n"))
 
 
+def _two_refreshes(spark: SparkSession, d: str) -> tuple[list, list, incremental.PartitionedRefresh]:
+    """One state refreshed with the runs of the first half of the time and what was recorded by then, then with everything:
+    the parts recomputed each time."""
+    files, runs = table(spark, d, "files"), table(spark, d, "index_runs")
+    state = incremental.PartitionedRefresh(spark, scratch(spark, "changed-paths"))
+    day = F.to_date("started_at")
+    middle = runs.agg(F.date_add(F.min(day), F.floor(F.date_diff(F.max(day), F.min(day)) / 2).cast("int"))).head()[0]
+    first = incremental.refresh_changes(files.where(F.to_date("recorded_at") < F.lit(middle)), runs.where(day < F.lit(middle)), state)
+    return first, incremental.refresh_changes(files, runs, state), state
+
+
+def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p1_found out of two refreshes."""
+    return _two_refreshes(spark, d)[2].read().select("run_id", "path")
+
+
+def p1_refreshes(spark: SparkSession, d: str) -> DataFrame:
+    """How many parts each refresh recomputed, of how many."""
+    first, second, state = _two_refreshes(spark, d)
+    parts = spark.read.parquet(f"{state.folder}/marks/{state.pointer.read()['gen']}").count()
+    return spark.createDataFrame([(1, len(first), len(first)), (2, len(second), parts)], "refresh int, recomputed bigint, parts bigint")
+
+
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "edges").where(plain_kind(F.col("kind")) == "inherits")
     return H.hierarchy(rows, F.col("repo"), plain_qname(F.col("source_qname")), plain_qname(F.col("target_qname")))
@@ -68,7 +91,7 @@ def p6_definitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_paths, p2_descendants, p3_found, p3_report, p6_found, p6_dependants, p6_definitions)
+    f.__name__: f for f in (p1_found, p1_changes, p1_incremental, p1_refreshes, p2_found, p2_paths, p2_descendants, p3_found, p3_report, p6_found, p6_dependants, p6_definitions)
 }
 
 # Plain forms in SQL, as functions of an expression.
@@ -143,6 +166,15 @@ _S = f"s as (select repo, {sql_qname('qname')} target_qname, count(*) definition
 ORACLES: dict[str, str] = {
     "p1_found": _P1 + "select run_id, path from found",
     "p1_changes": _P1 + "select run_id, change, count(*) n from found group by 1, 2",
+    "p1_incremental": _P1 + "select run_id, path from found",
+    "p1_refreshes": """
+    with mid as (select min(started_at::date) + (date_diff('day', min(started_at::date), max(started_at::date)) // 2)::int m from index_runs),
+    r as (select run_id, floor(date_diff('day', date '1970-01-01', started_at::date) / 7) part, started_at::date < m early, lag(run_id) over (partition by repo, root order by started_at, run_id) before
+      from index_runs, mid where status = 'ok' and finished_at is not null),
+    behind as (select distinct run_id from files, mid where recorded_at::date >= m),
+    c as (select part, early, not early or run_id in (from behind) or coalesce(before in (from behind), false) moved from r)
+    select 1 refresh, count(distinct part) recomputed, count(distinct part) parts from c where early
+    union all select 2, count(distinct part) filter (where moved), count(distinct part) from c""",
     "p2_found": _P2 + "select repo, qname, root_qname, depth from placed",
     "p2_paths": _P2
     + """, tops as (select repo, qname, case when looped and list_position(seen, cur) = 1 then [qname] when looped then seen[:list_position(seen, cur)] else seen end chain from placed),

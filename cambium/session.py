@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,18 +45,44 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session. Only where that is unset (a single
-    machine, tests) a local folder is made and remembered in the setting."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session. Only where that is unset on a single machine
+    (tests) a local folder is made and remembered in the setting; a cluster without the setting is refused, as each
+    executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cambium-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of the application's own that goes when the application ends, or
+    earlier with the `scope` it was made in."""
+    own = f"{shared_folder(spark)}/cambium-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_cambium_scratch", None) != own:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+        spark.sparkContext._cambium_scratch = own
+    path = f"{own}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at its end; for services, whose answers are collected inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

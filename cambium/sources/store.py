@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.session import delete
+from cambium.sources.pointer import Pointer
 
-POINTER = "CURRENT.json"
 NAME = re.compile(r"[A-Za-z0-9_.-]{1,120}")
 
 
@@ -27,28 +27,11 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def _pointer(self) -> dict:
-        p, fs = self._fs(f"{self.folder}/{POINTER}")
-        if not fs.exists(p):
-            return {"version": None, "tables": [], "meta": {}}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{POINTER}").collect()))
+        return Pointer(self.spark, self.folder).read() or {"version": None, "tables": [], "meta": {}}
 
     def _point(self, state: dict) -> None:
-        fresh, fs = self._fs(f"{self.folder}/.{uuid.uuid4().hex}")
-        fs.mkdirs(fresh.getParent())
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps(state), "utf-8"))
-        out.close()
-        target, _ = self._fs(f"{self.folder}/{POINTER}")
-        options = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri())
-        args = self.spark.sparkContext._gateway.new_array(options, 1)
-        args[0] = options.OVERWRITE
-        context.rename(fs.makeQualified(fresh), fs.makeQualified(target), args)
+        Pointer(self.spark, self.folder).swap(state)
 
     def exists(self) -> bool:
         return self._pointer()["version"] is not None
@@ -65,9 +48,10 @@ class SnapshotStore:
         for name, df in tables.items():
             df.write.parquet(f"{self.folder}/{version}/{name}")
         past = [*state.get("past", []), *([state["version"]] if state["version"] else [])]
-        for old in past[: max(0, len(past) - keep + 1)]:
+        kept = past[-keep + 1 :] if keep > 1 else []
+        self._point({"version": version, "past": kept, "tables": sorted(tables), "meta": state["meta"] | (meta or {})})
+        for old in past[: len(past) - len(kept)]:  # only now: until the swap, readers follow them
             delete(self.spark, f"{self.folder}/{old}")
-        self._point({"version": version, "past": past[-keep + 1 :] if keep > 1 else [], "tables": sorted(tables), "meta": state["meta"] | (meta or {})})
 
     def get_meta(self, key: str) -> str | None:
         return self._pointer()["meta"].get(key)

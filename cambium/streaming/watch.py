@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cambium.operators import graph as G
-from cambium.operators.incremental import PART, PartitionedRefresh, part_of, run_changes
+from cambium.operators.incremental import PartitionedRefresh, refresh_changes
 from cambium.operators.indexing import index_repo, stored_graph
+from cambium.session import scope
 from cambium.sources import git
 from cambium.sources.store import SnapshotStore
 
@@ -36,20 +37,18 @@ def watch(spark: SparkSession, root: str, store: SnapshotStore, repo: str, inter
         time.sleep(interval)
 
 
-def follow_listings(spark: SparkSession, source: str, index_runs: Callable[[], DataFrame], log: str, state: str, checkpoint: str, parts: int = 16) -> StreamingQuery:
-    """Streams new files of the listing table `source` (parquet; run_id, path, sha256, deleted, recorded_at in plain form)
-    into a log, with `index_runs` giving run_id, repo, root, seq and last, and refreshes the changed paths of the parts they touch.
+def follow_listings(spark: SparkSession, source: str, index_runs: Callable[[], DataFrame], log: str, state: str, checkpoint: str, days: int = 7) -> StreamingQuery:
+    """Streams new files of the listing table `source` (parquet; run_id, path, sha256, deleted, recorded_at) into a log and
+    refreshes the changed paths in `state` of the parts they touch; `index_runs` gives the runs as they are now.
 
     A micro-batch that is repeated after a failure overwrites its own part of the log, so rows count once, and the
     refresh recomputes from the log, so no change is lost or doubled. Ends when everything there is has been handled."""
     schema = spark.read.parquet(source).schema
-    table = PartitionedRefresh(spark, state, parts)
+    table = PartitionedRefresh(spark, state)
 
     def handle(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(log)
-        runs = index_runs()
-        rows = spark.read.parquet(log).drop("_epoch", "repo").join(runs, "run_id")
-        rows = rows.withColumn(PART, part_of(F.col("repo"), F.col("root"), F.col("path"), parts=parts))
-        table.refresh(rows.select("run_id", "repo", "root", "seq", "last", "path", "sha256", "deleted", "recorded_at", PART), run_changes)
+        with scope(spark):
+            refresh_changes(spark.read.parquet(log).drop("_epoch"), index_runs(), table, days)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -30,26 +30,26 @@ def test_changes_between_ok_runs(spark):
         (4, "a.py", "y", False, 1), (4, "c.py", "k", False, 1), (4, "d.py", "q", False, 1), (4, "d.py", "z", False, 9), (4, "d.py", "z", False, 9),
     )
     r = runs(spark, (1, "ok"), (2, "failed"), (3, "ok"), (4, "ok"), (5, "running"))
-    got = found(I.changed_paths(f, r, parts=4))
+    got = found(I.changed_paths(f, r, days=1))
     assert got == [(1, "a.py", "added"), (1, "b.py", "added"), (1, "c.py", "added"), (3, "a.py", "changed"), (3, "b.py", "removed"), (3, "d.py", "added"), (4, "c.py", "changed")]
 
 
 def test_gap_and_return(spark):
     f = files(spark, (1, "a", "x", False, 1), (2, "b", "x", False, 1), (3, "a", "x", False, 1))
     r = runs(spark, (1, "ok"), (2, "ok"), (3, "ok"))
-    assert found(I.changed_paths(f, r, parts=2)) == [(1, "a", "added"), (2, "a", "removed"), (2, "b", "added"), (3, "a", "added"), (3, "b", "removed")]
+    assert found(I.changed_paths(f, r)) == [(1, "a", "added"), (2, "a", "removed"), (2, "b", "added"), (3, "a", "added"), (3, "b", "removed")]
 
 
 def test_empty_null_and_clashing_columns(spark):
     r = runs(spark, (1, "ok"))
-    assert found(I.changed_paths(files(spark), r, parts=2)) == []
+    assert found(I.changed_paths(files(spark), r)) == []
     odd = files(spark, (1, None, "x", False, 1), (1, "b", None, None, 1)).withColumns({"seq": F.lit(9), "_part": F.lit(3), "root": F.lit("z")})
-    assert found(I.changed_paths(odd, r, parts=2)) == [(1, "b", "added")]
-    assert found(I.changed_paths(files(spark, (1, "b", "x", False, 1)), runs(spark), parts=2)) == []
+    assert found(I.changed_paths(odd, r)) == [(1, "b", "added")]
+    assert found(I.changed_paths(files(spark, (1, "b", "x", False, 1)), runs(spark))) == []
 
 
 def test_refresh_recomputes_only_changed_parts_and_survives_failure(spark, tmp_path):
-    state = I.PartitionedRefresh(spark, f"file://{tmp_path}/state", parts=4)
+    state = I.PartitionedRefresh(spark, f"file://{tmp_path}/state")
     source = lambda rows: spark.createDataFrame(rows, "k int, v string").withColumn("_part", F.col("k") % 4)
     seen = []
 
@@ -74,8 +74,10 @@ def test_refresh_recomputes_only_changed_parts_and_survives_failure(spark, tmp_p
         pass
     assert sorted((r.k, r.v) for r in state.read().collect()) == [(0, "A"), (1, "Z"), (3, "C")]  # as before
     assert state.refresh(source(rows), compute) == [3]  # and handled once, by the next run
+    old = state.read()
     assert state.refresh(source(rows[1:]), compute) == [0]  # a part that is gone is emptied
     assert sorted((r.k, r.v) for r in state.read().collect()) == [(1, "Z"), (3, "D")]
+    assert sorted((r.k, r.v) for r in old.collect()) == [(0, "A"), (1, "Z"), (3, "D")]  # whoever read before still can
     assert state.refresh(source([]), compute) == [1, 2, 3]
     assert state.read().count() == 0
 
@@ -86,3 +88,20 @@ def test_fingerprints_tell_nulls_and_repeats(spark):
     assert fp([(0, "a")]) != fp([(0, "a"), (0, "a")])
     assert fp([(0, "a"), (0, "b")]) == fp([(0, "b"), (0, "a")])
     assert fp([]) == []
+
+
+def test_new_runs_and_late_rows_recompute_their_parts_only(spark, tmp_path):
+    state = I.PartitionedRefresh(spark, f"file://{tmp_path}/state")
+    rows = [(i, p, f"{p}{i // 3}", False, 1) for i in range(1, 7) for p in "ab"]
+    r = lambda n: runs(spark, *[(i, "ok") for i in range(1, n + 1)])
+    parts = lambda *days: sorted({(T0 + timedelta(days=i)).toordinal() - datetime(1970, 1, 1).toordinal() for i in days})
+    go = lambda data, n: I.refresh_changes(files(spark, *data), r(n), state, days=1)
+    assert go([x for x in rows if x[0] <= 4], 4) == parts(1, 2, 3, 4)
+    assert go(rows, 6) == parts(5, 6)  # history isn't touched
+    assert go(rows, 6) == []
+    rows.append((2, "c", "late", False, 9))
+    assert go(rows, 6) == parts(2, 3)  # the run it belongs to, and the next, which misses it
+    assert found(state.read()) == found(I.changed_paths(files(spark, *rows), r(6)))
+    assert (3, "c", "removed") in found(state.read())
+    assert I.refresh_changes(files(spark, *rows), runs(spark, *[(i, "failed" if i == 2 else "ok") for i in range(1, 7)]), state, days=1) == parts(2, 3)
+    assert found(state.read()) == found(I.changed_paths(files(spark, *rows), runs(spark, *[(i, "failed" if i == 2 else "ok") for i in range(1, 7)])))
