@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from cambium.functions.plain import blank, plain_path
 from cambium.operators import spans as S
-from cambium.operators.resolve import Resolver, bucket, first_existing
+from cambium.operators.resolve import SEP, Resolver, bucket, first_existing
 from cambium.session import cut, ship
 
 # Decorators by which frameworks register what is called from outside.
-ROUTES = frozenset("get post put patch delete options head route add_api_route api_route websocket before_request on_event on_message".split())
+ROUTES = ("get", "post", "put", "patch", "delete", "options", "head", "route", "add_api_route", "api_route", "websocket", "before_request", "on_event", "on_message")
 HINT_LENGTH = 200
+# Folders that can be the import root of a Python repository.
+PYTHON_ROOTS = ("src", "lib", "python")
 
-SCHEMA = "repo string, path string, language string, module string, record string, pos int, owner string, name string, kind string, target string, extra string, line_start int, line_end int, exported boolean, decorated boolean, external_entry boolean, candidates array<string>"
+SCHEMA = "repo string, path string, version bigint, language string, module string, record string, pos int, owner string, name string, kind string, target string, extra string, line_start int, line_end int, exported boolean, decorated boolean, external_entry boolean, candidates array<string>"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -52,12 +54,14 @@ class Parsed:
 # Module names and the modules an import may mean
 
 
-def module_id(path: str, language: str) -> str | None:
+def module_id(path: str, language: str, root: str | None = None) -> str | None:
     """The module of a file: dotted path; packages collapse to their folder in python, files to theirs in go and java;
-    rust drops a leading src and the names mod, lib and main. Null where a language has no module at that place."""
+    rust drops a leading src and the names mod, lib and main, python its import root. Null where a language has no module
+    at that place."""
+    path = below_root(path, language, root)
     stem = re.sub(r"\.\w+$", "", path)
     parts = [p for p in stem.split("/") if p]
-    if language == "python" and parts[-1] == "__init__":
+    if language == "python" and parts[-1:] == ["__init__"]:
         parts = parts[:-1]
     elif language in ("go", "java"):
         parts = parts[:-1]
@@ -67,6 +71,10 @@ def module_id(path: str, language: str) -> str | None:
     return ".".join(parts) or None
 
 
+def below_root(path: str, language: str, root: str | None) -> str:
+    return path.removeprefix(f"{root}/") if root and language == "python" else path
+
+
 def tails(parts: list[str]) -> list[str]:
     return [".".join(parts[i:]) for i in range(len(parts))]
 
@@ -394,12 +402,12 @@ def _java_imports(p: Parsed, text: str, code: str) -> None:
 IMPORTS = {"typescript": _ts_imports, "go": _go_imports, "rust": _rust_imports, "java": _java_imports}
 
 
-def parse(text: str, path: str) -> Parsed | None:
-    """Everything found in one file, or null where its language has no module there."""
+def parse(text: str, path: str, root: str | None = None) -> Parsed | None:
+    """Everything found in one file, or null where its language has no module there. `root` is the import root."""
     language = S.language_of(path)
     if not language or path.endswith((".d.ts", "_test.go")):
         return None
-    module = module_id(path, language)
+    module = module_id(path, language, root)
     if not module:
         return None
     text = S.normalized(text or "")
@@ -411,16 +419,16 @@ def parse(text: str, path: str) -> Parsed | None:
         parse_braces(p, text, language)
     for r in p.rows:
         if r["record"] == "import":
-            r["candidates"] = spec_candidates(str(r["target"]), path, language)
+            r["candidates"] = spec_candidates(str(r["target"]), below_root(path, language, root), language)
     return p
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for repo, path, text in zip(batch["repo"], batch["path"], batch["text"], strict=True):
-            if (p := parse(text, path)) is not None:
-                common = {"repo": repo, "path": path, "language": S.language_of(path), "module": p.module}
+        for repo, path, text, version, root in zip(batch["repo"], batch["path"], batch["text"], batch["version"], batch["root"], strict=True):
+            if (p := parse(text, path, root)) is not None:
+                common = {"repo": repo, "path": path, "version": version, "language": S.language_of(path), "module": p.module}
                 rows += [tuple((common | r).get(c) for c in COLUMNS) for r in p.rows]
         yield pd.DataFrame(rows, columns=COLUMNS)
 
@@ -432,12 +440,11 @@ class Extracted:
     records: DataFrame
 
     def _of(self, record: str, **names: str) -> DataFrame:
-        return self.records.where(F.col("record") == record).select("repo", "path", "module", *[F.col(old).alias(new) for new, old in names.items()])
+        return self.records.where(F.col("record") == record).select("repo", "path", "version", "module", *[F.col(old).alias(new) for new, old in names.items()])
 
     @property
     def symbols(self) -> DataFrame:
-        rows = self._of("symbol", qname="owner", name="name", kind="kind", signature="extra", line_start="line_start", line_end="line_end", exported="exported", decorated="decorated", external_entry="external_entry", external_hint="target", language="language")
-        return rows
+        return self._of("symbol", qname="owner", name="name", kind="kind", signature="extra", line_start="line_start", line_end="line_end", exported="exported", decorated="decorated", external_entry="external_entry", external_hint="target", language="language")
 
     @property
     def imports(self) -> DataFrame:
@@ -456,10 +463,31 @@ class Extracted:
         return self._of("error", message="extra")
 
 
-def extract(sources: DataFrame) -> Extracted:
-    """Records of source files (repo, path, text), written once. Rows without repo, path or text give nothing."""
+def import_roots(files: DataFrame) -> DataFrame:
+    """`repo, root`: the folder under which the Python modules of a repository are named. That is the one of PYTHON_ROOTS
+    that holds Python files, if there is exactly one and no Python file lies at the top. `files`: repo, path."""
+    top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise("")
+    tops = files.where(F.col("path").endswith(".py")).select("repo", top.alias("top")).where(F.col("top").isin("", *PYTHON_ROOTS))
+    return tops.groupBy("repo").agg(F.count_distinct("top").alias("n"), F.min("top").alias("root")).where("n = 1 and root <> ''").select("repo", "root")
+
+
+def latest_texts(documents: DataFrame) -> DataFrame:
+    """`repo, path, text` of the documents with a path, each path's text collected last (ties: the greatest doc_id). Only the
+    ids of those that came before are joined to the texts."""
+    rows = documents.select("doc_id", "repo", plain_path(F.col("path")).alias("path"), "collected_at", "text").where(F.col("repo").isNotNull() & ~blank(F.col("path")))
+    age = F.struct("collected_at", "doc_id")
+    last = rows.groupBy("repo", "path").agg(F.max(age).alias("last"), F.count("*").alias("n")).where("n > 1")
+    old = rows.select("doc_id", "repo", "path", age.alias("age")).join(last, ["repo", "path"]).where("age <> last").select("doc_id").distinct()
+    return rows.join(old, "doc_id", "left_anti").select("repo", "path", "text")
+
+
+def extract(sources: DataFrame, roots: DataFrame | None = None) -> Extracted:
+    """Records of source files (repo, path, text), written once. Rows without repo, path or text give nothing. Versions of
+    one path stay apart: a record's `version` is a hash of its text. `roots` are the `import_roots`, by default those of the
+    sources themselves."""
     ship(sources.sparkSession)
     rows = sources.select("repo", plain_path(F.col("path")).alias("path"), "text").where(F.col("repo").isNotNull() & ~blank(F.col("path")) & F.col("text").isNotNull())
+    rows = rows.withColumn("version", F.xxhash64("text")).join(import_roots(rows) if roots is None else roots, "repo", "left")
     return Extracted(cut(rows.mapInPandas(_extract, SCHEMA), "extracted"))
 
 
@@ -469,16 +497,18 @@ def resolved(x: Extracted) -> tuple[DataFrame, DataFrame]:
     symbols = cut(x.symbols.select("repo", "qname", "name", "kind", "module").distinct(), "universe")
     modules = symbols.where("kind = 'module'").select("repo", F.col("qname").alias("module"))
     imports = cut(first_existing(x.imports, modules.distinct()), "imports")
-    stars = imports.where("local = '*' and imported = '*' and target is not null").select("repo", "module", "target").distinct()
-    raw = x.edges.select(F.xxhash64("repo", "path", "pos").alias("id"), "repo", "module", "source", "target", "kind", "pos")
-    none = raw.select("repo", F.col("source").alias("cls"), F.col("target").alias("base"), "pos").where("false")
+    raw = x.edges.select("repo", F.concat_ws(SEP, "path", F.col("version").cast("string"), F.col("pos").cast("string")).alias("id"), "module", "source", "target", "kind", "pos")
+    r = Resolver(symbols, imports, star_exports(imports))
     # bases first: members are then looked for on ancestors too
-    inherits = cut(raw.where("kind = 'inherits'"), "inherits")
-    first = Resolver(symbols, imports, stars, none).resolve(inherits)
-    bases = cut(inherits.join(first, "id").select("repo", F.col("source").alias("cls"), F.col("hit").alias("base"), "pos"), "bases")
-    r = Resolver(symbols, imports, stars, bases)
-    hits = cut(r.resolve_bound(raw, x.bindings), "hits")
-    found = raw.join(hits, "id").select("repo", "source", F.col("hit").alias("target"), "kind", "method")
+    inherits = raw.where("kind = 'inherits'")
+    bases = inherits.join(r.resolve(inherits), ["repo", "id"]).select("repo", F.col("source").alias("cls"), F.col("hit").alias("base"), "pos")
+    hits = cut(r.with_bases(bases).resolve_bound(raw, x.bindings), "hits")
+    found = raw.join(hits, ["repo", "id"]).select("repo", "source", F.col("hit").alias("target"), "kind", "method")
     edges = found.unionByName(r.import_edges()).distinct()
-    open_ = raw.where("kind in ('calls', 'inherits', 'renders')").join(hits, "id", "left_anti").select("repo", "source", F.col("target").alias("target_text"), "kind")
+    open_ = raw.where("kind in ('calls', 'inherits', 'renders')").join(hits, ["repo", "id"], "left_anti").select("repo", "source", F.col("target").alias("target_text"), "kind")
     return edges, bucket(open_, symbols).select("repo", "source", "target_text", "kind", F.substring_index("target_text", ".", -1).alias("member"), "bucket")
+
+
+def star_exports(imports: DataFrame) -> DataFrame:
+    """`repo, module, target` of the imports (see `first_existing`) that hand on everything of a module."""
+    return imports.where("local = '*' and imported = '*' and target is not null").select("repo", "module", "target").distinct()

@@ -13,7 +13,7 @@ from cambium.session import cut
 from cambium.sources.repository import list_sources
 from cambium.sources.store import SnapshotStore
 
-ENGINE_VERSION = "1"  # a change of what extraction yields; another stored one means a full run
+ENGINE_VERSION = "2"  # a change of what extraction yields; another stored one means a full run
 
 
 def index_repo(spark: SparkSession, root: str, store: SnapshotStore, repo: str, force: bool = False, dominant_only: bool = True) -> dict:

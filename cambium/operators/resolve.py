@@ -1,9 +1,11 @@
-"""Resolving raw references to symbols: an ordered cascade of equi-joins.
-
-Theta conditions are turned into equalities: the suffixes of modules and the prefixes of names are exploded once and
-joined by key. Each rule gives candidates with a rank, the least rank wins, so the cascade is one grouped minimum and
-no rule depends on the order in which tasks run. Inheritance and bindings are walked a bounded number of steps,
-star exports to their end.
+"""Resolving raw references to symbols: a ranked list of candidates and one equi-join.
+
+What a name means in its module (own symbol, import, the only symbol of that name) is looked up once per (module, name),
+not per reference. Each reference then makes an array of candidate names, one for each rule and depth, with its rank;
+all of them are joined to the known symbols at once and the least rank wins, so the cascade is one grouped minimum
+and no rule depends on the order in which tasks run. Theta conditions are turned into equalities: suffixes of modules and
+prefixes of names are exploded and joined by key. Inheritance and bindings are walked a bounded number of steps, as
+their rules say; star exports to their end.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from cambium.session import cut, drop
 
 # Receivers, roots that are only known at run time, and the bounds of the walks.
 RECEIVERS = ("self", "cls", "this", "type")
-DYNAMIC_ROOTS = ("self", "cls", "this", "super", "type", "args", "kwargs")
+DYNAMIC_ROOTS = ("self", "cls", "super", "type", "locals", "globals", "vars", "__class__", "this")
 MAX_CHAIN = 10
 MAX_BINDING_STEPS = 4
 
@@ -70,17 +72,20 @@ def bucket(texts: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def class_chain(bases: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
     """`repo, cls, ancestor, pos`: each class, its bases, theirs and so on, breadth first, `most` at the most and each
-    once. `bases`: repo, cls, base, pos (the order of several bases)."""
-    up = bases.select("repo", F.col("cls").alias("at"), "base", F.col("pos").alias("o")).distinct()
-    level = bases.select("repo", "cls").distinct().select("repo", "cls", F.col("cls").alias("ancestor"), F.array(F.lit(0)).alias("order"), F.array("cls").alias("seen"))
+    once. `bases`: repo, cls, base, pos (the order of several bases). A step keeps one row an ancestor, the one that
+    comes first, so diamonds don't multiply."""
+    up = cut(bases.select("repo", F.col("cls").alias("at"), "base", F.col("pos").alias("o")).distinct(), "bases")
+    level = cut(up.select("repo", F.col("at").alias("cls")).distinct().select("repo", "cls", F.col("cls").alias("ancestor"), F.array(F.lit(0)).alias("order")), "level")
     out = level
     for _ in range(most - 1):
-        nxt = level.join(up, (level["repo"] == up["repo"]) & (level["ancestor"] == up["at"])).where(~F.array_contains("seen", F.col("base")))
-        level = nxt.select(level["repo"], "cls", F.col("base").alias("ancestor"), F.concat("order", F.array("o")).alias("order"), F.concat("seen", F.array("base")).alias("seen"))
+        nxt = level.select("repo", "cls", F.col("ancestor").alias("at"), "order").join(up, ["repo", "at"]).select("repo", "cls", F.col("base").alias("ancestor"), F.concat("order", F.array("o")).alias("order"))
+        nxt = nxt.join(out.select("repo", "cls", "ancestor"), ["repo", "cls", "ancestor"], "left_anti").groupBy("repo", "cls", "ancestor").agg(F.min("order").alias("order"))
+        level = cut(nxt, "level")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
-    once = out.groupBy("repo", "cls", "ancestor").agg(F.min(F.struct(F.size("order").alias("d"), "order")).alias("o"))
-    w = Window.partitionBy("repo", "cls").orderBy("o", "ancestor")
-    return once.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < most).select("repo", "cls", "ancestor", "pos")
+    w = Window.partitionBy("repo", "cls").orderBy(F.size("order"), "order", "ancestor")
+    return out.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < most).select("repo", "cls", "ancestor", "pos")
 
 
 def star_closure(stars: DataFrame) -> DataFrame:
@@ -96,27 +101,57 @@ def star_closure(stars: DataFrame) -> DataFrame:
     return out.drop("k")
 
 
+SEP = "\x1f"
+
+
+def _candidate(rank: Column | int, n: Column | int, o: Column | int, key: Column, method: str) -> Column:
+    as_int = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("int")
+    return F.struct(as_int(rank).alias("rank"), as_int(n).alias("n"), as_int(o).alias("o"), key.alias("qname"), F.lit(method).alias("method"))
+
+
+def _below(rank: int, base: Column, rest: Column, method: str) -> Column:
+    """Candidates base plus ever fewer of the dotted `rest`, the most first; null without a base."""
+    return F.when(base.isNotNull() & rest.isNotNull(), F.transform(dotted_prefixes(rest, whole=True), lambda p, k: _candidate(rank, -k, 0, F.concat(base, F.lit("."), p), method)))
+
+
+def _one(condition: Column, candidate: Column) -> Column:
+    return F.when(condition, F.array(candidate))
+
+
 class Resolver:
     """Resolution in one repo universe. `symbols`: repo, qname, name, kind, module (of their file); `imports`: repo, module,
-    local, imported, spec, target (see `first_existing`), pos; `stars`: repo, module, target; `bases`: repo, cls, base, pos."""
+    local, imported, spec, target (see `first_existing`), pos; `stars`: repo, module, target. Bases are given later,
+    as they are resolved themselves. References are rows (repo, id, module, source, target), id being unique in its repo."""
 
-    def __init__(self, symbols: DataFrame, imports: DataFrame, stars: DataFrame, bases: DataFrame):
+    def __init__(self, symbols: DataFrame, imports: DataFrame, stars: DataFrame):
         self.symbols = symbols
         self.imports = imports.where("not (local = '*' and imported = '*')")
-        # each relation below takes part in many joins; written once, so that plans stay small
-        self.known = cut(symbols.select("repo", "qname").distinct(), "known")
-        self.modules = cut(symbols.where("kind = 'module'").select("repo", F.col("qname").alias("module")).distinct(), "modules")
+        # each relation below takes part in several joins; written once, so that plans stay small
+        self.known = cut(symbols.groupBy("repo", "qname").agg(F.max(F.col("kind") == "module").alias("is_module")), "known")
+        self.modules = self.known.where("is_module").select("repo", F.col("qname").alias("module"))
         plain = symbols.where("kind <> 'module'").select("repo", "module", "name", "qname").distinct()
         self.in_module = cut(plain.groupBy("repo", "module", "name").agg(F.count("*").alias("n"), F.min("qname").alias("hit")), "in_module")
-        self.unique = cut(plain.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min("qname").alias("hit")).where("n = 1").select("repo", "name", "hit"), "unique")
-        self.chain = cut(class_chain(bases), "chain")
+        self.unique = cut(self.in_module.groupBy("repo", "name").agg(F.sum("n").alias("n"), F.min("hit").alias("hit")).where("n = 1").select("repo", "name", "hit"), "unique")
         reach = star_closure(stars).unionByName(self.modules.select("repo", "module", F.col("module").alias("reach"))).distinct()
         seen = cut(reach.join(self.in_module.withColumnRenamed("module", "reach"), ["repo", "reach"]), "seen")
         # a name seen through stars counts if one symbol only, in every module reached, has it
         named = seen.groupBy("repo", "module", "name").agg(F.max("n").alias("most"), F.count_distinct("hit").alias("hits"), F.min("hit").alias("hit")).where("most = 1 and hits = 1").select("repo", "module", "name", "hit")
         sub = self.modules.select("repo", F.regexp_extract("module", r"^(.*)\.[^.]+$", 1).alias("m"), F.substring_index("module", ".", -1).alias("name"), F.col("module").alias("hit")).where("m <> ''").withColumnRenamed("m", "module")
         self.named_or_submodule = cut(named.unionByName(sub.join(seen.select("repo", "module", "name").distinct(), ["repo", "module", "name"], "left_anti")), "named")
-        self.bound = cut(self.imports.where("target is not null").groupBy("repo", "module", "local").agg(F.max_by(F.struct("target", "imported"), "pos").alias("i")).select("repo", "module", "local", "i.target", "i.imported"), "bound")
+        self.bound = self.imports.where("target is not null").groupBy("repo", "module", "local").agg(F.max_by(F.struct("target", "imported"), "pos").alias("i")).select("repo", "module", "local", "i.target", "i.imported")
+        self.chains = None
+
+    def with_bases(self, bases: DataFrame) -> Resolver:
+        """Members are looked for on the ancestors too. `bases`: repo, cls, base, pos."""
+        chain = class_chain(bases).groupBy("repo", "cls").agg(F.sort_array(F.collect_list(F.struct("pos", "ancestor"))).alias("c"))
+        self.chains = cut(chain.select("repo", "cls", F.col("c.ancestor").alias("chain")), "chain")
+        return self
+
+    def _with_chain(self, rows: DataFrame, cls: str) -> DataFrame:
+        """`rows` with `chain`: the class itself and its ancestors in order."""
+        if self.chains is None:
+            return rows.withColumn("chain", F.array(cls))
+        return rows.join(self.chains.withColumnRenamed("cls", cls), ["repo", cls], "left").withColumn("chain", F.coalesce("chain", F.array(cls)))
 
     def import_edges(self) -> DataFrame:
         """module -> module once each (static), and module -> imported name (import in the imported module itself, else
@@ -130,108 +165,91 @@ class Resolver:
         n = n.join(at, ["repo", "target"], "left").select("repo", F.col("module").alias("source"), "target", F.lit("imports").alias("kind"), F.when(F.col("at") == F.col("m"), "import").otherwise("global").alias("method"))
         return whole.unionByName(n).distinct()
 
-    def _deepest(self, rows: DataFrame, base: str, rest: Column, rank: int, method: str) -> DataFrame:
-        """Candidates `id, rank, n, hit, method`: base plus ever fewer of the dotted `rest`, the most first."""
-        c = rows.select("id", "repo", F.col(base).alias("base"), F.posexplode(dotted_prefixes(rest, whole=True)).alias("n", "p"))
-        c = c.select("id", "repo", "n", F.concat_ws(".", "base", "p").alias("qname")).join(self.known, ["repo", "qname"])
-        return c.select("id", F.lit(rank).alias("rank"), (-F.col("n")).alias("n"), F.lit(0).alias("o"), F.col("qname").alias("hit"), F.lit(method).alias("method"))
-
-    def _through_class(self, rows: DataFrame, base: str, rest: Column, rank: int, method: str, exact: bool = False) -> DataFrame:
-        """As `_deepest`, trying the base's ancestors at each depth; with `exact` only for the whole rest."""
-        c = rows.select("id", "repo", F.col(base).alias("cls"), rest.alias("rest"))
-        c = c.join(self.chain, ["repo", "cls"], "left").select("id", "repo", F.coalesce("ancestor", "cls").alias("at"), F.coalesce("pos", F.lit(0)).alias("pos"), "rest")
-        tails = F.array("rest") if exact else dotted_prefixes(F.col("rest"), whole=True)
-        c = c.select("id", "repo", "at", "pos", F.posexplode(tails).alias("n", "p")).select("id", "repo", "n", "pos", F.concat_ws(".", "at", "p").alias("qname")).join(self.known, ["repo", "qname"])
-        return c.select("id", F.lit(rank).alias("rank"), (-F.col("n")).alias("n"), F.col("pos").alias("o"), F.col("qname").alias("hit"), F.lit(method).alias("method"))
-
-    @staticmethod
-    def _best(candidates: DataFrame) -> DataFrame:
-        return candidates.groupBy("id").agg(F.min(F.struct("rank", "n", "o", "hit", "method")).alias("b")).select("id", F.col("b.hit").alias("hit"), F.col("b.method").alias("method"))
+    def meanings(self, names: DataFrame) -> DataFrame:
+        """For each distinct (repo, module, first) of `names` what the name means there: `own` (the one symbol of the module),
+        `m, imported` (what an import binds it to), `named` (the symbol that import names), `named_any` and `any` (the
+        one symbol of that name anywhere)."""
+        own = self.in_module.where("n = 1").select("repo", "module", F.col("name").alias("first"), F.col("hit").alias("own"))
+        bound = self.bound.select("repo", "module", F.col("local").alias("first"), F.col("target").alias("m"), "imported", F.when(~F.col("imported").isin("*", "default"), F.col("imported")).alias("what"))
+        n = names.select("repo", "module", "first").distinct().join(own, ["repo", "module", "first"], "left").join(bound, ["repo", "module", "first"], "left")
+        n = n.join(self.named_or_submodule.select("repo", F.col("module").alias("m"), F.col("name").alias("what"), F.col("hit").alias("named")), ["repo", "m", "what"], "left")
+        n = n.join(self.unique.select("repo", F.col("name").alias("what"), F.col("hit").alias("named_any")), ["repo", "what"], "left")
+        return n.join(self.unique.select("repo", F.col("name").alias("first"), F.col("hit").alias("any")), ["repo", "first"], "left")
+
+    def _best(self, rows: DataFrame, candidates: Column) -> DataFrame:
+        """`repo, id, rank, hit, method`: the least of each row's candidates that is a known symbol."""
+        c = rows.select("repo", "id", F.inline(candidates)).where("qname is not null").join(self.known.select("repo", "qname"), ["repo", "qname"])
+        return c.groupBy("repo", "id").agg(F.min(F.struct("rank", "n", "o", F.col("qname").alias("hit"), "method")).alias("b")).select("repo", "id", "b.rank", "b.hit", "b.method")
 
     def resolve(self, raw: DataFrame) -> DataFrame:
-        """`id, hit, method` of the raw references (id, repo, module, source, target) that resolve, by every rule but
-        bindings."""
-        r = raw.where("target is not null and target <> ''").withColumns({"first": F.substring_index("target", ".", 1), "rest": F.when(F.col("target").contains("."), F.expr("substring(target, instr(target, '.') + 1)")), "parent": F.when(F.col("source").contains("."), F.regexp_replace("source", r"\.[^.]*$", "")).otherwise(F.col("source"))})
-        one, many = r.where("rest is null"), r.where("rest is not null")
-
-        def scope(rows: DataFrame) -> DataFrame:
-            """Same scope, else the one symbol of the module: `..., local`."""
-            near = rows.withColumn("qname", F.concat_ws(".", "parent", "first")).join(self.known.withColumn("_near", F.lit(True)), ["repo", "qname"], "left")
-            m = self.in_module.where("n = 1").select("repo", "module", F.col("name").alias("first"), F.col("hit").alias("_mod"))
-            near = near.join(m, ["repo", "module", "first"], "left")
-            return near.withColumn("local", F.when(F.col("_near") & (F.col("qname") != F.col("source")), F.col("qname")).otherwise(F.col("_mod"))).drop("qname", "_near", "_mod")
-
-        plain = lambda rows, hit, rank, method: rows.where(F.col(hit).isNotNull()).select("id", F.lit(rank).alias("rank"), F.lit(0).alias("n"), F.lit(0).alias("o"), F.col(hit).alias("hit"), F.lit(method).alias("method"))
-        imported = lambda rows: rows.join(self.bound.select("repo", "module", F.col("local").alias("first"), F.col("target").alias("m"), "imported"), ["repo", "module", "first"])
-        unique = self.unique.select("repo", F.col("name").alias("first"), F.col("hit").alias("anywhere"))
-        out = [plain(scope(one), "local", 10, "same")]
-        i = imported(one).where("imported not in ('*', 'default')")
-        out.append(plain(i.join(self.named_or_submodule.select("repo", F.col("module").alias("m"), F.col("name").alias("imported"), F.col("hit").alias("h")), ["repo", "m", "imported"]), "h", 20, "import"))
-        out.append(plain(i.join(self.unique.select("repo", F.col("name").alias("imported"), F.col("hit").alias("h")), ["repo", "imported"]), "h", 21, "global"))
-        out.append(plain(one.join(unique, ["repo", "first"]), "anywhere", 30, "global"))
-
+        """`repo, id, hit, method` of the references that resolve, by every rule but bindings."""
+        tail_of = lambda c: F.when(F.col(c).contains("."), F.expr(f"substring({c}, instr({c}, '.') + 1)"))
+        r = raw.where("target is not null and target <> ''").withColumns({"first": F.substring_index("target", ".", 1), "rest": tail_of("target"), "parent": F.when(F.col("source").contains("."), F.regexp_replace("source", r"\.[^.]*$", "")).otherwise(F.col("source"))})
+        r = r.withColumns({"member": F.substring_index("rest", ".", 1), "tail": tail_of("rest"), "near": F.concat_ws(".", "parent", "first")})
+        r = r.join(self.meanings(r), ["repo", "module", "first"], "left").join(self.known.select("repo", F.col("qname").alias("near"), F.lit(True).alias("is_near")), ["repo", "near"], "left")
         # receivers: the enclosing class is the parent, if that is a symbol and no module
-        owned = many.join(self.known.withColumnRenamed("qname", "parent"), ["repo", "parent"], "left_semi").join(self.modules.withColumnRenamed("module", "parent"), ["repo", "parent"], "left_anti")
-        owned = owned.withColumns({"member": F.substring_index("rest", ".", 1), "tail": F.when(F.col("rest").contains("."), F.expr("substring(rest, instr(rest, '.') + 1)"))})
-        mine = owned.where(F.col("first").isin(*RECEIVERS))
-        above = owned.where("first = 'super'").join(self.chain.select("repo", F.col("cls").alias("parent"), F.col("ancestor").alias("base"), F.col("pos").alias("p")), ["repo", "parent"]).where("p > 0")
-        hits = self._through_class(mine, "parent", F.col("member"), 5, "same", exact=True)
-        hits = hits.unionByName(above.select("id", "p", F.concat_ws(".", "base", "member").alias("qname"), "repo").join(self.known, ["repo", "qname"]).select("id", F.lit(5).alias("rank"), F.lit(0).alias("n"), F.col("p").alias("o"), F.col("qname").alias("hit"), F.lit("same").alias("method")))
-        member = self._best(hits).withColumnRenamed("hit", "member_hit").drop("method")
-        deep = owned.where("tail is not null").join(member, "id")
-        out.append(self._through_class(deep, "member_hit", F.col("tail"), 4, "same"))
-        out.append(hits)
-
-        i = imported(many)
-        out.append(self._deepest(i.where("imported = '*'"), "m", F.col("rest"), 40, "import"))
-        out.append(self._deepest(i.where("imported not in ('*', 'default')"), "m", F.concat_ws(".", "imported", "rest"), 40, "import"))
-        out.append(self._deepest(scope(many).where("local is not null"), "local", F.col("rest"), 50, "same"))
-        out.append(self._deepest(many.join(unique, ["repo", "first"]), "anywhere", F.col("rest"), 60, "global"))
-        all_ = out[0]
-        for c in out[1:]:
-            all_ = all_.unionByName(c)
-        return self._best(all_)
+        owners = self.known.where("not is_module").select("repo", F.col("qname").alias("parent"), F.lit(True).alias("owned"))
+        r = self._with_chain(r.join(owners, ["repo", "parent"], "left"), "parent")
+        # same scope, else the one symbol of the module
+        local = F.when(F.col("is_near") & (F.col("near") != F.col("source")), F.col("near")).otherwise(F.col("own"))
+        one, many = F.col("rest").isNull(), F.col("rest").isNotNull()
+        mine, above = many & F.col("owned") & F.col("first").isin(*RECEIVERS), many & F.col("owned") & (F.col("first") == "super")
+        member = F.transform("chain", lambda a, i: _candidate(5, 0, i, F.concat(a, F.lit("."), F.col("member")), "same"))
+        lists = [
+            _one(one, _candidate(10, 0, 0, local, "same")), _one(one, _candidate(20, 0, 0, F.col("named"), "import")), _one(one, _candidate(21, 0, 0, F.col("named_any"), "global")), _one(one, _candidate(30, 0, 0, F.col("any"), "global")),
+            F.when(mine, member), F.when(above, F.slice(member, F.lit(2), F.lit(MAX_CHAIN))),
+            F.when(F.col("imported") == "*", _below(40, F.col("m"), F.col("rest"), "import")), F.when(F.col("what").isNotNull(), _below(40, F.col("m"), F.concat_ws(".", "what", "rest"), "import")),
+            _below(50, local, F.col("rest"), "same"), _below(60, F.col("any"), F.col("rest"), "global"),
+        ]
+        rules = lambda keep: F.flatten(F.array_compact(F.array(*[x for i, x in enumerate(lists) if keep(i)])))
+        best = cut(self._best(r, F.when(one, rules(lambda i: i < 4)).otherwise(rules(lambda i: i >= 4))), "best")
+        # a member of a member: below what the member led to, along its own chain
+        deep = r.where("owned and tail is not null").where(F.col("first").isin(*RECEIVERS, "super")).select("repo", "id", "tail").join(best.where("rank = 5").select("repo", "id", F.col("hit").alias("at")), ["repo", "id"])
+        deeper = self._best(self._with_chain(deep, "at"), self._along(F.lit(4), "tail", "same"))
+        return best.join(deeper.select("repo", "id", F.col("hit").alias("_hit")), ["repo", "id"], "left").select("repo", "id", F.coalesce("_hit", "hit").alias("hit"), "method")
+
+    @staticmethod
+    def _along(rank: Column, rest: str, method: str) -> Column:
+        """Candidates each class of `chain` plus ever fewer of `rest`, the most first, then in the order of the chain."""
+        return F.flatten(F.transform("chain", lambda a, i: F.transform(dotted_prefixes(F.col(rest), whole=True), lambda p, k: _candidate(rank, -k, i, F.concat(a, F.lit("."), p), method))))
 
     def resolve_bound(self, raw: DataFrame, bindings: DataFrame, steps: int = MAX_BINDING_STEPS) -> DataFrame:
         """As `resolve`, with names bound to constructible symbols tried first (method attr). `bindings`: repo, module,
         owner, local, target, annotation, pos; the greatest pos of an owner and name counts. Bindings that refer to other bindings
         are followed `steps` times, or until nothing changes."""
         b = bindings.groupBy("repo", "module", "owner", "local").agg(F.max_by(F.struct("target", "annotation"), "pos").alias("v")).select("repo", "module", "owner", "local", "v.target", "v.annotation")
-        b = b.where("target is not null and target <> '' and target <> local").withColumn("bid", F.xxhash64("repo", "module", "owner", "local"))
+        b = b.where("target is not null and target <> '' and target <> local").withColumn("id", F.concat_ws(SEP, F.lit("b"), "module", "owner", "local"))
         # a function's targets are seen from the function itself, a class's from a member of it
         classes = self.symbols.where("kind = 'class'").select("repo", F.col("qname").alias("owner"), F.lit(True).alias("_class")).distinct()
         b = b.join(classes, ["repo", "owner"], "left").withColumn("source", F.when(F.col("_class"), F.concat_ws(".", "owner", F.lit("_"))).otherwise(F.col("owner"))).drop("_class")
         b = cut(b, "bindings")
-        ask = b.select(F.col("bid").alias("id"), "repo", "module", "source", "target")
-        roots = self.resolve(ask).select(F.col("id").alias("bid"), F.col("hit").alias("base"))
-        b = cut(b.join(roots, "bid", "left"), "roots")
-        names = b.where("base is null and annotation is not null").select("bid", "repo", "module", "source", F.posexplode(_names("annotation")).alias("k", "target")).withColumn("id", F.xxhash64("bid", "k"))
-        typed = self.resolve(names.select("id", "repo", "module", "source", "target")).join(names.select("id", "bid", "k"), "id")
-        typed = typed.groupBy("bid").agg(F.min_by("hit", "k").alias("_typed"))
-        known = cut(b.join(typed, "bid", "left").withColumn("base", F.coalesce("base", "_typed")).drop("_typed").withColumn("root", F.col("base")), "roots")
+        names = b.where("annotation is not null").select("repo", F.col("id").alias("bid"), "module", "source", F.posexplode(_names("annotation")).alias("k", "target")).withColumn("id", F.concat_ws(SEP, F.lit("t"), "k", "bid"))
+        ask, reference = ["repo", "id", "module", "source", "target"], raw.withColumn("id", F.concat_ws(SEP, F.lit("r"), "id"))
+        # references, what is bound and the types of parameters go through the rules at once
+        hits = cut(self.resolve(reference.select(*ask).unionByName(b.select(*ask)).unionByName(names.select(*ask))), "hits")
+        typed = hits.join(names.select("repo", "id", "bid", "k"), ["repo", "id"]).groupBy("repo", F.col("bid").alias("id")).agg(F.min_by("hit", "k").alias("_typed"))
+        roots = b.join(hits.select("repo", "id", F.col("hit").alias("_base")), ["repo", "id"], "left").join(typed, ["repo", "id"], "left")
+        known = cut(roots.withColumn("base", F.coalesce("_base", "_typed")).drop("_base", "_typed", "annotation").withColumn("root", F.col("base")), "roots")
         for _ in range(steps):
-            more = self._bound(ask, known).select(F.col("id").alias("bid"), F.col("hit").alias("_more"))
+            more = self._bound(b, known).select("repo", "id", F.col("hit").alias("_more"))
             # dotted targets go by bindings first, as references do
             root = F.when(F.col("target").contains("."), F.coalesce("_more", "base")).otherwise(F.coalesce("base", "_more"))
-            known = cut(known.withColumnRenamed("root", "_last").join(more, "bid", "left").withColumn("root", root).withColumn("_new", ~F.col("root").eqNullSafe(F.col("_last"))).drop("_more", "_last"), "roots")
+            last, known = known, cut(known.withColumnRenamed("root", "_last").join(more, ["repo", "id"], "left").withColumn("root", root).withColumn("_new", ~F.col("root").eqNullSafe(F.col("_last"))).drop("_more", "_last"), "roots")
+            drop(last)
             if known.where("_new").isEmpty():
                 break
             known = known.drop("_new")
-        bound = cut(self._bound(raw, known), "attr")
-        rest = self.resolve(raw.join(bound, "id", "left_anti"))
-        return bound.unionByName(rest)
+        bound = cut(self._bound(reference, known).select("repo", "id", "hit", "method"), "attr")
+        both = bound.unionByName(hits.where(F.col("id").startswith("r" + SEP)).join(bound, ["repo", "id"], "left_anti"))
+        return both.withColumn("id", F.expr("substring(id, 3)"))
 
     def _bound(self, raw: DataFrame, known: DataFrame) -> DataFrame:
         """References whose longest bound prefix leads to a symbol: owner is the source itself or its enclosing class."""
-        r = raw.select("id", "repo", "module", "source", F.split("target", r"\.").alias("parts")).select("*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("k"))
-        r = r.select("id", "repo", "module", "source", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), ".").alias("local"), F.array_join(F.slice("parts", F.col("k") + 1, F.size("parts")), ".").alias("rest"))
-        r = r.select("*", F.explode(F.array_distinct(F.array("source", F.regexp_replace("source", r"\.[^.]*$", "")))).alias("owner"))
-        r = r.join(known.where("root is not null").select("repo", "module", "owner", "local", "root"), ["repo", "module", "owner", "local"])
-        whole = r.where("rest = ''").select("id", (-F.col("k")).alias("rank"), F.lit(0).alias("n"), F.lit(0).alias("o"), F.col("root").alias("hit"), F.lit("attr").alias("method"))
-        part = r.where("rest <> ''").withColumn("rid", F.xxhash64("id", "k", "owner"))
-        deep = self._through_class(part.select(F.col("rid").alias("id"), "repo", "root", "rest"), "root", F.col("rest"), 0, "attr").join(part.select(F.col("rid").alias("id"), F.col("id").alias("was"), "k"), "id")
-        deep = deep.select(F.col("was").alias("id"), (-F.col("k")).alias("rank"), "n", "o", "hit", "method")
-        return self._best(whole.unionByName(deep))
+        r = raw.select("repo", "id", "module", "source", F.split("target", r"\.").alias("parts")).select("*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("k"))
+        r = r.select("repo", "id", "module", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), ".").alias("local"), F.array_join(F.slice("parts", F.col("k") + 1, F.size("parts")), ".").alias("rest"), F.explode(F.array_distinct(F.array("source", F.regexp_replace("source", r"\.[^.]*$", "")))).alias("owner"))
+        r = self._with_chain(r.join(known.where("root is not null").select("repo", "module", "owner", "local", "root"), ["repo", "module", "owner", "local"]), "root")
+        whole = F.array(_candidate(-F.col("k"), 0, 0, F.col("root"), "attr"))
+        return self._best(r, F.when(F.col("rest") == "", whole).otherwise(self._along(-F.col("k"), "rest", "attr")))
 
 
 def _names(annotation: str) -> Column:

@@ -462,7 +462,7 @@ def eval_precision_recall(spark, d):
 
 
 def _extracted(spark: SparkSession, d: str) -> extract.Extracted:
-    return extract.extract(table(spark, d, "documents"))
+    return extract.extract(extract.latest_texts(table(spark, d, "documents")))
 
 
 @query()
@@ -503,7 +503,7 @@ def unresolved_from_text(spark, d):
     return extract.resolved(_extracted(spark, d))[1].groupBy("repo", "bucket", "kind").agg(F.count("*").alias("n"))
 
 
-@query(_WITH.replace("with ", "with recursive ", 1) + ", st as (select distinct e.repo, e.source_qname m, e.target_qname t from edg e join sym a on a.repo = e.repo and a.qname = e.source_qname and a.kind = 'module' join sym b on b.repo = e.repo and b.qname = e.target_qname and b.kind = 'module' where e.kind = 'imports' and e.method = 'static'), up as (select distinct repo, m as module, m reach, 0 k from st union select u.repo, u.module, s.t, u.k + 1 from up u join st s on s.repo = u.repo and s.m = u.reach where u.k < 10) select distinct repo, module, reach from up")
+@query(_WITH.replace("with ", "with recursive ", 1) + ", st as (select distinct e.repo, e.source_qname m, e.target_qname t from edg e join sym a on a.repo = e.repo and a.qname = e.source_qname and a.kind = 'module' join sym b on b.repo = e.repo and b.qname = e.target_qname and b.kind = 'module' where e.kind = 'imports' and e.method = 'static'), up as (select distinct repo, m as module, m reach, [m] seen from st union all select u.repo, u.module, s.t, list_append(u.seen, s.t) from up u join st s on s.repo = u.repo and s.m = u.reach where not list_contains(u.seen, s.t)) select distinct repo, module, reach from up")
 def star_closure(spark, d):
     """Modules each module leads to over static imports of modules."""
     g = G.load_graph(spark, d)

@@ -93,3 +93,30 @@ def test_chains_of_bindings_and_star_exports(spark):
     e = {(r.source, r.target, r.kind): r.method for r in edges.collect()}
     assert e[("top.Top.go", "lib.n.m.K.run", "calls")] == "attr"
     assert e[("lib.use.use", "lib.m14.far", "calls")] == "import"  # fourteen star exports away; the name isn't unique
+
+
+def test_versions_of_a_path_stay_apart(spark):
+    rows = [("r", "m.py", "def a():\n    pass\n\ndef b():\n    pass\n\ndef k():\n    a()\n"), ("r", "m.py", "def a():\n    pass\n\ndef b():\n    pass\n\ndef z():\n    b()\n")]
+    edges, _ = X.resolved(X.extract(spark.createDataFrame(rows, "repo string, path string, text string")))
+    assert {(r.source, r.target) for r in edges.where("kind = 'calls'").collect()} == {("m.k", "m.a"), ("m.z", "m.b")}
+    docs = spark.createDataFrame([(i, "r", p, t, i) for i, (_, p, t) in enumerate(rows)], "doc_id bigint, repo string, path string, text string, collected_at int")
+    assert [r.text for r in X.latest_texts(docs).collect()] == [rows[1][2]]
+
+
+def test_four_bindings_in_a_row(spark):
+    rows = [("r", "m.py", "class A:\n    def go(self):\n        pass\n\ndef k():\n    a = A()\n    b = a\n    c = b\n    d = c\n    d.go()\n")]
+    edges, _ = X.resolved(X.extract(spark.createDataFrame(rows, "repo string, path string, text string")))
+    assert ("m.k", "m.A.go", "attr") in {(r.source, r.target, r.method) for r in edges.collect()}
+
+
+def test_import_roots(spark):
+    src = {"src/pkg/__init__.py": "", "src/pkg/mod.py": "def f():\n    return 1\n", "src/pkg/use.py": "from pkg.mod import f\nfrom .mod import f as g\n\ndef go():\n    return f()\n\ndef also():\n    return g()\n", "tests/t.py": ""}
+    top = {"core.py": "def f():\n    return 1\n", "src/pkg/mod.py": "def g():\n    return 2\n"}
+    two = {"src/a.py": "", "lib/b.py": ""}
+    rows = [(r, p, t) for r, files in (("src", src), ("top", top), ("two", two)) for p, t in files.items()]
+    x = X.extract(spark.createDataFrame(rows, "repo string, path string, text string"))
+    modules = {(r.repo, r.qname) for r in x.symbols.where("kind = 'module'").collect()}
+    assert {("src", "pkg.mod"), ("src", "tests.t"), ("top", "src.pkg.mod"), ("two", "src.a"), ("two", "lib.b")} <= modules
+    edges, _ = X.resolved(x)
+    e = {(r.source, r.target): r.method for r in edges.where("kind = 'calls'").collect()}
+    assert e == {("pkg.use.go", "pkg.mod.f"): "import", ("pkg.use.also", "pkg.mod.f"): "import"}
