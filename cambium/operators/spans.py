@@ -115,6 +115,8 @@ class Function:
     owner: str
     signature: str
     paren: int = -1  # where its parameters open
+    body: int = -1  # python: where its body begins
+    indent: int = 0
 
 
 @dataclass(slots=True)
@@ -159,8 +161,8 @@ def _sig(text: str, a: int, b: int) -> str:
 PY_DEF = re.compile(r"^(?P<indent>[ \t]*)(?:(?:async[ \t]+)?(?P<def>def)|(?P<class>class))[ \t]+(?P<name>\w+)", re.M)
 
 
-def python_functions(text: str, code: str, strings: dict[int, Span]) -> Iterator[tuple[Function, str]]:
-    """Functions with the plain string literal that opens their body."""
+def python_functions(text: str, code: str) -> Iterator[Function]:
+    """Functions with the place where their body begins."""
     close: dict[int, int] | None = None
     stack: list[tuple[int, str, bool]] = []
     for m in PY_DEF.finditer(code):
@@ -177,19 +179,15 @@ def python_functions(text: str, code: str, strings: dict[int, Span]) -> Iterator
         if end is None:
             continue
         colon = _annotation_end(code, end + 1, close)
-        if colon < 0:
-            continue
-        body = re.compile(r"[\s\\]*").match(code, colon + 1).end()
-        s = next((strings[a] for a in range(colon + 1, min(body, len(text)) + 1) if a in strings), None)
-        if s is None or set(s.kind) - set("ru") or text[colon + 1 : s.start].replace("\\\n", "").strip() and not re.fullmatch(r"(?:\s*#[^\n]*\n)*\s*", text[colon + 1 : s.start]):
-            continue
-        if not re.match(r"[ \t]*(?:;|\n|\Z)", code[s.end : s.end + 200]):
-            continue
-        gap = code[colon + 1 : s.start]
-        if "\n" in gap and len(gap.rpartition("\n")[2].expandtabs(8)) <= indent:
-            continue  # the string stands outside the body
-        owner = ".".join(name for _, name, is_class in stack[:-1] if is_class)
-        yield Function(m.start("indent"), m.group("name"), owner, _sig(text, paren.end() - 1, colon - 1)), _python_doc(s.text)
+        if colon >= 0:
+            owner = ".".join(name for _, name, is_class in stack[:-1] if is_class)
+            yield Function(m.start("indent"), m.group("name"), owner, _sig(text, paren.end() - 1, colon - 1), paren.end() - 1, colon + 1, indent)
+
+
+def lone_literals(code: str, strings: dict[int, Span]) -> list[Span]:
+    """Plain string literals after which a statement ends, in order: what documentation can be in python."""
+    ends = re.compile(r"[ \t]*(?:;|\n|\Z)")
+    return [s for _, s in sorted(strings.items()) if not set(s.kind) - set("ru") and ends.match(code, s.end)]
 
 
 def _annotation_end(code: str, at: int, close: dict[int, int]) -> int:
@@ -206,7 +204,7 @@ def _annotation_end(code: str, at: int, close: dict[int, int]) -> int:
     return -1
 
 
-def _python_doc(literal: str) -> str:
+def literal_text(literal: str) -> str:
     body = literal.lstrip("rRuU")
     q = 3 if body[:3] in ('"""', "'''") else 1
     return body[q:-q] if len(body) >= 2 * q and body.endswith(body[:q]) else body[q:]
