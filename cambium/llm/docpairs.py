@@ -1,10 +1,11 @@
 """Problem 4: functions paired with their documentation.
 
-In each file the spans of comments and string literals are found first, in one scan; the spans of types and functions
-are found on a copy in which those are blanked out, so code inside strings is never seen. The two sorted lists then meet
-in an as-of join on position: a function takes the last comment that ends before it, provided nothing but
-attributes, annotations or directives lies between. All of this happens inside one row, so no span is shuffled; the
-source text isn't either. Only names and documentation leave the worker.
+The spans of documentation (comments, and in python the string literals that stand alone) and the spans of functions are
+found independently of each other; types and functions are looked for on a copy in which comments and strings are blanked
+out, so code inside strings is never seen. The two sorted lists of a whole batch of files then meet in one as-of join on
+position: a function takes the nearest comment that ends before it, in python the nearest literal after its header,
+and the pair is rejected if a statement lies between. Only the accepted pairs are looked at one by one. No span is
+shuffled, nor is the source text: only names and documentation leave the worker.
 
 Five languages by file extension: python, typescript/javascript, go, rust, java. A file with syntax errors gives what
 can still be recognised. Null and empty texts give nothing.
@@ -13,15 +14,16 @@ can still be recognised. Null and empty texts give nothing.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.functions.plain import plain_path
-from cambium.operators.spans import FINDERS, LANGUAGES, Function, Span, blocks_of, language_of, lex, normalized, python_functions
+from cambium.operators.spans import FINDERS, LANGUAGES, Function, Span, blocks_of, language_of, lex, literal_text, lone_literals, normalized, python_functions
 from cambium.session import ship
 
 BETWEEN = re.compile(r"\s*(?:(?:@[\w.$]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?|\#!?\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\])\s*)*")
@@ -29,7 +31,8 @@ DIRECTIVE = re.compile(r"\s*(?:go:\w|nolint|lint:|line\s+\S+:\d|export\s+\w+\s*$
 
 
 def _is_directive(c: Span) -> bool:
-    return bool(DIRECTIVE.match(re.sub(r"^\s*(?:/\*+|//+)", "", c.text)))
+    """Whether every line of a comment is a directive to some tool."""
+    return all(DIRECTIVE.match(re.sub(r"^\s*(?:/\*+|//+)", "", line)) for line in c.text.split("\n"))
 
 
 def eligible(c: Span, language: str) -> bool:
@@ -41,27 +44,67 @@ def eligible(c: Span, language: str) -> bool:
     return language == "rust" and c.text.startswith("///") and not c.text.startswith("////")
 
 
-def attach(functions: list[Function], comments: list[Span], text: str, code: str, language: str) -> Iterator[tuple[Function, str]]:
-    """The as-of join: each function with the nearest comment before it, unless a statement or a blank line, which
-    detaches a comment, lies between."""
-    ends = [c.end for c in comments]
-    for f in functions:
-        i, below = bisect_right(ends, f.start) - 1, f.start
-        while i >= 0:
-            c = comments[i]
-            gap = code[c.end : below]
-            if not BETWEEN.fullmatch(gap) or re.search(r"\n[ \t]*\n", gap):
-                break
-            if _is_directive(c) and c.text.count("\n") == 0:
-                i, below = i - 1, c.start
+@dataclass(slots=True)
+class Scanned:
+    """The spans of one file."""
+
+    language: str
+    text: str
+    code: str
+    functions: list[Function]
+    documentation: list[Span]
+
+
+def scan(text: str, language: str) -> Scanned:
+    text = normalized(text)
+    code, comments, strings = lex(text, language)
+    if language == "python":
+        return Scanned(language, text, code, list(python_functions(text, code)), lone_literals(code, strings))
+    return Scanned(language, text, code, sorted(FINDERS[language](text, code), key=lambda f: f.start), blocks_of(comments, text))
+
+
+def as_of(points: np.ndarray, spans: np.ndarray, forward: bool) -> np.ndarray:
+    """For each point the number of the last span position at or before it, or the first at or after it."""
+    return np.searchsorted(spans, points, "left") if forward else np.searchsorted(spans, points, "right") - 1
+
+
+def attach(files: list[Scanned]) -> Iterator[tuple[int, Function, str]]:
+    """The as-of join over a batch of files, laid end to end: (number of the file, function, documentation)."""
+    base = np.concatenate([[0], np.cumsum([len(f.text) + 2 for f in files])])
+    for forward in (False, True):
+        mine = [(k, f) for k, f in enumerate(files) if (f.language == "python") == forward]
+        functions = [(k, fn) for k, f in mine for fn in f.functions]
+        spans = [(k, s) for k, f in mine for s in f.documentation]
+        points = np.array([base[k] + (fn.body if forward else fn.start) for k, fn in functions], dtype=np.int64)
+        places = np.array([base[k] + (s.start if forward else s.end) for k, s in spans], dtype=np.int64)
+        for (k, fn), at in zip(functions, as_of(points, places, forward).tolist(), strict=True):
+            if forward:
+                if at < len(spans) and spans[at][0] == k and opens_body(files[k], fn, spans[at][1]):
+                    yield k, fn, literal_text(spans[at][1].text)
                 continue
-            if eligible(c, language):
-                yield f, comment_text(c, language)
-                break
-            if language == "go" or c.kind == "block":
-                break
-            i, below = i - 1, c.start  # a plain comment between documentation and function is no statement
-            break
+            below = fn.start
+            while at >= 0 and spans[at][0] == k and touches(files[k], spans[at][1], below):
+                c = spans[at][1]
+                if not _is_directive(c):  # directives lie between; anything else is the documentation or hides it
+                    if eligible(c, files[k].language):
+                        yield k, fn, comment_text(c, files[k].language)
+                    break
+                at, below = at - 1, c.start
+
+
+def touches(f: Scanned, c: Span, below: int) -> bool:
+    """Whether nothing but attributes and annotations, and no blank line, which detaches a comment, lies between."""
+    gap = f.code[c.end : below]
+    return bool(BETWEEN.fullmatch(gap)) and not re.search(r"\n[ \t]*\n", gap)
+
+
+def opens_body(f: Scanned, fn: Function, s: Span) -> bool:
+    """Whether a literal is the first thing in a function's body, comments aside."""
+    gap = f.text[fn.body : s.start]
+    if gap.replace("\\\n", "").strip() and not re.fullmatch(r"(?:\s*#[^\n]*\n)*\s*", gap):
+        return False
+    own = f.code[fn.body : s.start]
+    return "\n" not in own or len(own.rpartition("\n")[2].expandtabs(8)) > fn.indent
 
 
 def comment_text(c: Span, language: str) -> str:
@@ -72,14 +115,15 @@ def comment_text(c: Span, language: str) -> str:
     return "\n".join(line for line in lines if not DIRECTIVE.match(line) or language == "rust")
 
 
-# Stand-ins that say nothing about the function (fixed words).
-STAND_INS = re.compile(
-    r"(?:todo|fixme|tbd|tba|tbc|tk|wip|xxx+|n/?a|none|nil|null|nothing|placeholder|stub|dummy|undocumented|missing|empty|docs?|docstring|documentation|comment|description|summary|desc|javadoc|jsdoc|rustdoc|godoc|"
-    r"see (?:above|below|code|name|title)|self[- ]?explanatory|as (?:the )?name (?:says|suggests|implies)|\?+|lorem ipsum.*|"
-    r"(?:no|missing|without|add|insert|write|needs?|put|fill in|enter|your|todo|fixme|tbd|a|the|some|more|auto-?generated|generated|default|method|function|class|short|brief)[\s:,-]*(?:a |the |some |any |your |more |method |function |class |short |brief |proper |auto-?generated )*(?:documentation|description|docs?|docstring|comments?|summary|text|stub|details?|desc|jsdoc|javadoc|content)(?: (?:provided|available|given|yet|here|needed|required|goes here|stub|later|missing|tbd|todo|for now|has been provided|exists|at this time|please|pending|to be (?:added|written|done)))*|"
-    r"to be (?:documented|written|done|added|described|completed|determined|defined)|(?:document|describe|explain|write|fill|fix|finish|complete) (?:me|this|it)(?: (?:later|out|in|please|soon))*(?: (?:function|method))?|"
-    r"(?:this|the|a|an|some)?\s*(?:function|method|helper)(?: (?:stub|body|docs?|here))?|(?:auto-?generated|generated) (?:method|function|constructor|catch)? ?stub|coming soon|not documented(?: yet)?|inherit(?:ed)? ?doc|\{?@inheritdoc\}?|same as above|ditto|blah(?: blah)*|foo|asdf|test)"
+# Words that stand in for documentation or speak of its absence, and words that go with them. A line of nothing else, the
+# words of the function's name and articles aside, says nothing.
+STAND_INS = frozenset(
+    "todo fixme tbd tba tbc wip tk xxx na nil none null nothing placeholder stub dummy undocumented doc docs docstring documentation document documented description describe described "
+    "comment comments summary javadoc jsdoc rustdoc godoc inheritdoc autogenerated explanatory ditto lorem ipsum above below missing blah foo asdf soon".split()
 )
+GO_WITH = frozenset("n a as no not yet add write insert put fill provide provided available given needed required here there later soon please pending goes without see self to be done added determined written completed explain fix finish this it me your my some any more out in inherit inherited auto generated method function helper class short brief proper code name title says same text details for now has been exists at time and".split())
+EMPTY = frozenset("function method helper n a".split())  # say nothing by themselves either
+NOTES = frozenset("todo fixme tbd xxx hack".split())
 TAG_LINE = re.compile(r"^\s*(?:[@\\](?P<at>\w+)|:(?P<colon>\w+)(?P<arg>[^:\n]*):)(?P<rest>.*)$")
 TAKES_NAME = frozenset("param parameter arg argument arguments params property prop keyword kwarg key template tparam typeparam type-param throws throw exception raises raise var ivar cvar".split())
 HEADINGS = frozenset("args arguments parameters params returns return raises yields yield example examples note notes throws panics errors safety usage see references attributes warnings todo".split())
@@ -87,7 +131,8 @@ ARTICLES = frozenset("a an the der die das ein eine el la los las un una le les"
 
 
 def words(s: str) -> list[str]:
-    return [w for w in re.findall(r"[^\W_]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", s))]
+    """The words of a name or text: at underscores, changes of case, and between letters and digits."""
+    return re.findall(r"[^\W\d_]+|\d+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", s))
 
 
 def _stem(w: str) -> str:
@@ -130,42 +175,36 @@ def informative(doc: str, name: str, params: str = "") -> bool:
             line = p.group(1) if p else line
         elif p := re.match(r"^[*-]?\s*(\w+)\s*(?:-|:|–)\s*(.*)$", line):
             line = p.group(2) if p.group(1) in params.split() or _stem(p.group(1)) in own else line
-        plain = re.sub(r"\s+", " ", line).strip().strip(".!:;,-–—…*#/\\()[]{}<>\"'`_~ ").lower()
-        if not plain:
+        said = [w.lower() for w in words(line)]
+        if said and said[0] in NOTES and (len(said) == 1 or STAND_INS & set(said[1:])):
             continue
-        if STAND_INS.fullmatch(plain) or re.match(r"(?:todo|fixme|tbd|xxx|hack)\b(?:\(\w+\))?:?\s*(?:.*\b(?:doc|docs|document|documentation|describe|description|comment|write|explain)\b.*)?$", plain):
-            continue
-        left = [w for w in words(line) if w.lower() not in ARTICLES and _stem(w) not in own and w.lower() not in own]
-        if left:
+        left = [w for w in said if w not in ARTICLES and w not in own and _stem(w) not in own]
+        if left and (set(left) - STAND_INS - GO_WITH or not STAND_INS & set(left) and set(left) - EMPTY):
             told = True
             break
     return told
 
 
-def pairs_of(text: str, path: str) -> Iterator[tuple[str, str, str]]:
-    """(name within the module, signature, documentation) of every function with informative documentation."""
-    language = language_of(path)
-    if not language or not text:
-        return
-    text = normalized(text)
-    code, comments, strings = lex(text, language)
-    if language == "python":
-        found = python_functions(text, code, strings)
-    else:
-        functions = sorted(FINDERS[language](text, code), key=lambda f: f.start)
-        found = attach(functions, blocks_of(comments, text), text, code, language)
-    for f, doc in found:
+def pairs_of(texts: list[str], paths: list[str]) -> Iterator[tuple[int, str, str, str]]:
+    """(number of the file, name within the module, signature, documentation) of every function with informative
+    documentation."""
+    known = [(i, language) for i, (text, path) in enumerate(zip(texts, paths, strict=True)) if text and (language := language_of(path))]
+    files = [scan(texts[i], language) for i, language in known]
+    for k, f, doc in attach(files):
         if informative(doc, f.name, " ".join(re.findall(r"\w+", f.signature))):
-            yield f"{f.owner}.{f.name}" if f.owner else f.name, f.signature, doc.strip()
+            yield known[k][0], f"{f.owner}.{f.name}" if f.owner else f.name, f.signature, doc.strip()
+
+
+BATCH_CHARS = 4_000_000  # texts scanned and joined at once, about
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for doc_id, repo, path, text in zip(batch["doc_id"], batch["repo"], batch["path"], batch["text"], strict=True):
-            for local, signature, doc in pairs_of(text, path):
-                rows.append((doc_id, repo, path, local, signature, doc))
-        yield pd.DataFrame(rows, columns=["doc_id", "repo", "path", "local", "signature", "docstring"])
+        step = batch["text"].str.len().cumsum() // BATCH_CHARS
+        for _, part in batch.groupby(step, sort=False):
+            ids, repos, paths = part["doc_id"].tolist(), part["repo"].tolist(), part["path"].tolist()
+            rows = [(ids[i], repos[i], paths[i], *pair) for i, *pair in pairs_of(part["text"].tolist(), paths)]
+            yield pd.DataFrame(rows, columns=["doc_id", "repo", "path", "local", "signature", "docstring"])
 
 
 def documented(documents: DataFrame) -> DataFrame:

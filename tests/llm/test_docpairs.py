@@ -7,7 +7,7 @@ from cambium.llm import docpairs as D
 
 
 def got(text, path):
-    return [x[0] for x in D.pairs_of(text, path)]
+    return [x[1] for x in D.pairs_of([text], [path])]
 
 
 def test_python():
@@ -264,3 +264,24 @@ def test_operator(spark):
     assert sorted((r.doc_id, r.qname) for r in D.function_pairs(docs, files).collect()) == [(1, "pkg.a.f"), (2, "b.F"), (6, "long.z")]
     assert D.function_pairs(docs.where("false"), files).count() == 0
     assert D.function_pairs(docs, files.where("false")).where("doc_id = 1").head().qname == "pkg.a.f"
+
+
+def test_a_batch_of_files_joins_at_once():
+    go, py = "// Opens what lies behind the door.\nfunc Open() {}\n", 'def close():\n    """Shuts it for good."""\n'
+    texts, paths = [go, py, "", py + go, go, None, "x"], ["a.go", "b.py", "c.go", "d.py", "e.go", "f.go", "g.txt"]
+    assert sorted((i, n) for i, n, _, _ in D.pairs_of(texts, paths)) == [(0, "Open"), (1, "close"), (3, "close"), (4, "Open")]
+
+
+def test_literals_of_other_functions_do_not_count():
+    assert got('def a():\n    pass\n\n"""Stands outside of everything."""\n\ndef b():\n    x = 1\n    """Comes too late to say it."""\n', "m.py") == []
+    assert got('def a():\n    # note\n    r"""Counts as what it is."""\n    pass\n', "m.py") == ["a"]
+
+
+def test_several_directives_between():
+    assert got("/** Reads one row of the table. */\n// eslint-disable-next-line x\n// @ts-ignore\nfunction get() {}\n", "a.ts") == ["get"]
+    assert got("/** Reads one row of the table. */\n// @ts-ignore\n// said in passing\nfunction get() {}\n", "a.ts") == []
+
+
+def test_numbers_in_names():
+    assert not D.informative("Merge the tenant.", "merge_tenant2") and not D.informative("Detach rotor 2.", "detachRotor2")
+    assert D.informative("Merge 3 tenants.", "merge_tenant2")
