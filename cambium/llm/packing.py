@@ -1,7 +1,7 @@
 """Problem 7: filling fixed-capacity containers with documents.
 
-Shortest-pack-first over the histogram of lengths: lengths are placed longest first; of the open packing patterns with
-room the one with the least room left that fits is filled, and the pattern counts are updated. That works on
+Shortest-pack-first over the histogram of lengths: lengths are placed longest first; of the open packing patterns the
+shortest, with the most room left, is filled if the length fits, and the pattern counts are updated. That works on
 (length, count) pairs, so the driver handles at most `capacity` lengths whatever the number of documents. The patterns
 are joined back to the documents by length and rank among equals. Ranks come from counts per (length, bucket), so
 documents of one hot length are ranked in many tasks.
@@ -9,7 +9,7 @@ documents of one hot length are ranked in many tasks.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,8 +39,10 @@ def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) ->
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Patterns and how many containers have each. Lengths lie in 1..capacity.
 
-    An open pattern is one with room left; of those that fit the next length, the one with the least room is taken, and
-    as many of its containers as there are items of that length, so whole groups move at once."""
+    An open pattern is one with room left; the one with the most room is taken while the next length fits, and as many of
+    its containers as there are items of that length, so whole groups move at once. A length splits at most two groups and
+    opens one, so there are never more than 3 * capacity patterns, of at most sqrt(2 * capacity) different lengths each,
+    whatever the number of items."""
     open_: dict[int, dict[Pattern, int]] = defaultdict(dict)  # by room
     rooms: list[int] = []
 
@@ -52,8 +54,8 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            i = bisect_left(rooms, length)
-            if i == len(rooms):  # fresh containers, as full of this length as fits
+            i = len(rooms) - 1
+            if i < 0 or rooms[i] < length:  # fresh containers, as full of this length as fits
                 per = min(left, capacity // length)
                 n = left // per
                 add(capacity - per * length, ((length, per),), n)
@@ -98,6 +100,7 @@ def ranked(items: DataFrame, key: str, order: list[str], buckets: int) -> DataFr
     return b.withColumn("local", local).join(before, [key, "bucket"]).withColumn("rank", F.col("before") + F.col("local")).drop("bucket", "local", "before")
 
 
+MAX_BROADCAST = 500_000  # slots, of 36 bytes; real histograms of capacity 8,192 have some 25,000
 BUCKET_ROWS = 250_000  # documents of one length that one task ranks, about
 
 
@@ -118,8 +121,7 @@ def pack(sizes: DataFrame, capacity: int, buckets: int | None = None) -> DataFra
     table = spark.createDataFrame(found, "length int, first bigint, end bigint, base bigint, per bigint")
     buckets = buckets or 1 + max(histogram.values(), default=0) // BUCKET_ROWS
     placed = ranked(items, "length", ["doc_id", "part"], buckets)
-    # the slots are a few rows a length, none of which grows with the documents
-    hit = placed.join(F.broadcast(table), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    hit = placed.join(F.broadcast(table) if len(found) <= MAX_BROADCAST else table, "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return hit.select((F.col("base") + F.expr("(rank - first) div per")).alias("container"), "doc_id", "part", "length")
 
 
@@ -139,7 +141,7 @@ def packs(documents: DataFrame, token_limits: DataFrame, vocabulary: str = DEFAU
 
 def _capacities(token_limits: DataFrame, purpose: str) -> list[int]:
     """Distinct capacities; the table is one of settings, with a few rows."""
-    rows = token_limits.where((F.col("purpose") == purpose) & (F.col("capacity_tokens") > 0)).select("capacity_tokens").distinct().limit(1000).collect()
+    rows = token_limits.where((F.col("purpose") == purpose) & (F.col("capacity_tokens") > 0)).select("capacity_tokens").distinct().collect()
     return sorted(r[0] for r in rows)
 
 
