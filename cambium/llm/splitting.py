@@ -20,7 +20,7 @@ from cambium.llm.tokens import DEFAULT_VOCABULARY, ByteTokenizer, pieces, tokeni
 from cambium.session import ship
 
 STRENGTHS = ("P", "L", "S", "W")
-LEAST_FILL = 0.5  # of the limit; a stronger boundary is preferred only beyond it
+LEAST_FILL = 0.5  # of the room; stronger boundaries are looked for beyond it first, then in all of it
 
 
 def _table(*codes: int) -> np.ndarray:
@@ -98,7 +98,8 @@ def pattern(first: int, later: int) -> str:
     def upto(n: int) -> str:
         least = max(1, int(n * LEAST_FILL))
         strong = [rf".{{{least - 1},{n - 1}}}{s}" for s in STRENGTHS]
-        return "|".join([rf".{{1,{n}}}\z", *strong, rf".{{0,{n - 1}}}[^x]", rf".{{1,{n}}}"])
+        anywhere = [rf".{{0,{least - 2}}}{s}" for s in STRENGTHS] if least > 1 else []
+        return "|".join([rf".{{1,{n}}}\z", *strong, *anywhere, rf".{{0,{n - 1}}}[^x]", rf".{{1,{n}}}"])
 
     return rf"(?s)\A(?:{upto(first)})|(?!\A)\G(?:{upto(later)})"
 
@@ -107,7 +108,8 @@ def split(m: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     """`capacity, doc_id, piece, start, end, n_tokens, text` with character positions, for each (capacity, overlap) and
     each of the `marked` documents that has more tokens than the capacity.
 
-    A piece has at most `capacity` tokens, ends at the strongest boundary in the second half of its room, and, from
+    A piece has at most `capacity` tokens, ends at the strongest boundary in the second half of its room, without any at
+    the strongest in the first half, and only without any there inside a word; and, from
     the second on, begins `overlap` tokens before the previous one's end (up to three fewer, where that place lies
     inside a character). Characters are never cut unless one alone exceeds the room. The pieces without their overlaps
     are the text. The limits are elements of one array, not branches of a union, which would tokenize again."""
@@ -134,7 +136,7 @@ def split(m: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
 def split_all(documents: DataFrame, token_limits: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, purpose: str = "split") -> DataFrame:
     """`split` for each capacity of that purpose in `token_limits`; texts are tokenized once for all of them. Null and
     empty texts and those within the least capacity give no pieces. Repeated rows give repeated pieces."""
-    limits = token_limits.where((F.col("purpose") == purpose) & (F.col("capacity_tokens") > 0)).select("capacity_tokens", F.coalesce("overlap_tokens", F.lit(0))).distinct().limit(1000).collect()
+    limits = token_limits.where((F.col("purpose") == purpose) & (F.col("capacity_tokens") > 0)).select("capacity_tokens", F.coalesce("overlap_tokens", F.lit(0))).distinct().collect()
     limits = sorted((r[0], r[1]) for r in limits)
     m = marked(documents, limits[0][0] if limits else 0, vocabulary)
     return split(m, limits) if limits else split(m, [(1, 0)]).where("false")

@@ -48,3 +48,18 @@ def test_pieces(spark):
     assert all(r.text.endswith("\n\n") for r in got[(32, 2)][:-1]) and all(r.text.rstrip().endswith(".") for r in got[(32, 1)][:-1])
     assert all(r.text.endswith("。") for r in got[(50, 3)][:-1])
     assert S.split_all(docs, limits.where("false")).count() == 0 and S.split_all(docs.where("false"), limits).count() == 0
+
+
+def test_no_word_is_cut_while_the_room_holds_a_blank(spark):
+    rng = random.Random(5)
+    texts = {i: "".join(rng.choice(["ab cd", " ", "x" * rng.randrange(30, 300), "\n", "q" * 80]) for _ in range(40)) for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    limits = spark.createDataFrame([("split", 16, 3)], "purpose string, capacity_tokens int, overlap_tokens int")
+    inside = 0
+    rows = S.split_all(docs, limits).orderBy("doc_id", "piece").collect()
+    for k, r in enumerate(rows):
+        text, last = texts[r.doc_id], rows[k - 1].end if r.piece else 0
+        if r.end < len(text) and not text[r.end - 1].isspace() and not text[r.end].isspace():
+            inside += 1
+            assert not any(c.isspace() for c in text[last : r.end].strip()), (r.doc_id, text[last : r.end])
+    assert inside > 10 and len(rows) > inside
