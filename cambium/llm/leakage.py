@@ -2,8 +2,10 @@
 
 Each task builds suffix arrays over the words of its share of the corpus and binary-searches every suffix of every
 evaluation item in them, all suffixes at once. Equal ranges give every place that shares `least` words in a row;
-places on one diagonal join to the longest verbatim match. The evaluation items are the bounded side: their size is
-checked before they are sent to the tasks. The corpus is read once, in shards of bounded size, and not shuffled.
+places on one diagonal join to the longest verbatim match. The corpus is read in shards of bounded size, and not shuffled.
+
+The evaluation items are tokenized and coded in the executors and sent to the tasks in blocks of bounded size, word numbers
+and not text; each block is one pass over the corpus, so an evaluation set of any size is searched whole.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cambium.session import ship
+from cambium.session import cut, ship
 
 LEAST = 13
 SHARD_WORDS = 2_000_000
-MAX_ITEM_BYTES = 64_000_000  # evaluation items beyond this are refused, as each task holds them
+BLOCK_BYTES = 16_000_000  # of evaluation text a pass over the corpus, about; a longer item makes a block of its own
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 _ESCAPE = re.compile(r"\\(?:u\{?([0-9A-Fa-f]{4,6})\}?|x([0-9A-Fa-f]{2})|([nrtfv0])|(.))", re.S)
@@ -55,38 +57,69 @@ def words(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Probes:
-    """Evaluation items as word numbers: `rows` (suffixes cut to `least` words), and where each comes from."""
+    """A block of evaluation items: word numbers by word, the items' words end to end, and the suffixes that count, with
+    the item and the place in it each comes from. Suffixes are compared in their first `least` words."""
 
     vocabulary: dict[str, int]
-    rows: np.ndarray
+    words: np.ndarray
+    start: np.ndarray
     item: np.ndarray
     at: np.ndarray
     least: int
 
 
-def probes(items: list[tuple[int, str]], least: int = LEAST) -> Probes:
-    """Suffixes that count: `least` words, none of which belongs to a row of so many words that several items share."""
-    vocabulary: dict[str, int] = {}
-    coded = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t or "")]) for i, t in items]
-    owners: dict[tuple[int, ...], set[int]] = {}
-    for i, w in coded:
-        for p in range(len(w) - least + 1):
-            owners.setdefault(tuple(w[p : p + least]), set()).add(i)
-    rows, item, at = [], [], []
-    for i, w in coded:
-        shared = np.zeros(len(w) + 1, dtype=np.int64)
-        n = len(w) - least + 1
-        for p in range(n):
-            if len(owners[tuple(w[p : p + least])]) > 1:
-                shared[p] += 1
-                shared[p + least] -= 1
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(shared)[: len(w)] > 0)])
-        for p in range(n):
-            if covered[p + least] == covered[p]:
-                rows.append(w[p : p + least])
-                item.append(i)
-                at.append(p)
-    return Probes(vocabulary, np.array(rows, dtype=np.int32).reshape(-1, least), np.array(item, dtype=np.int64), np.array(at, dtype=np.int64), least)
+def coded_items(eval_items: DataFrame, least: int = LEAST) -> DataFrame:
+    """`item_id, words, size, shared`: the words of each item and the places of rows of `least` words that several items
+    share. One row an item and text; items of fewer words are left out."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "text_no": b["text_no"], "words": [words(t) for t in b["text"]], "size": b["text"].str.len()})
+
+    rows = eval_items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct().withColumn("text_no", F.xxhash64("text"))
+    coded = cut(rows.mapInPandas(split, "item_id bigint, text_no bigint, words array<string>, size bigint").where(F.size("words") >= least), "items")
+    # rows of words by two hashes, 96 bits, one state each, however many items begin alike
+    window = F.transform(F.sequence(F.lit(1), F.size("words") - (least - 1)), lambda p: F.struct((p - 1).alias("p"), F.xxhash64(F.slice("words", p, F.lit(least))).alias("h"), F.hash(F.slice("words", p, F.lit(least)), F.lit(1)).alias("g")))
+    grams = coded.select("item_id", "text_no", F.inline(window))
+    common = grams.groupBy("h", "g").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a < b").select("h", "g")
+    shared = grams.join(common, ["h", "g"]).groupBy("item_id", "text_no").agg(F.collect_list("p").alias("shared"))
+    return coded.join(shared, ["item_id", "text_no"], "left").select("item_id", "words", "size", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+
+
+def counting(n_words: int, shared: np.ndarray, least: int) -> np.ndarray:
+    """Places whose `least` words all lie outside rows that several items share."""
+    edges = np.zeros(n_words + 1, dtype=np.int64)
+    np.add.at(edges, shared, 1)
+    np.add.at(edges, shared + least, -1)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:n_words] > 0)])
+    places = np.arange(max(0, n_words - least + 1))
+    return places[covered[places + least] == covered[places]]
+
+
+def probes(items: list[tuple[int, list[int] | np.ndarray, list[int] | np.ndarray]], vocabulary: dict[str, int], least: int = LEAST) -> Probes:
+    """A block out of (item, word numbers, shared places)."""
+    start, item, at, offset = [], [], [], 0
+    for i, w, shared in items:
+        p = counting(len(w), np.asarray(shared, dtype=np.int64), least)
+        start.append(offset + p)
+        at.append(p)
+        item.append(np.full(len(p), i))
+        offset += len(w)
+    join = lambda parts, kind: np.concatenate([np.zeros(0, dtype=kind), *parts]).astype(kind)
+    return Probes(vocabulary, join([np.asarray(w) for _, w, _ in items], np.int32), join(start, np.int64), join(item, np.int64), join(at, np.int64), least)
+
+
+def block_of_probes(items: DataFrame, least: int) -> Probes:
+    """The rows of one block, which is bounded, brought to the driver as word numbers."""
+    words_ = items.select(F.explode("words").alias("w")).distinct()
+    vocabulary = {w: k for k, w in enumerate(sorted(r[0] for r in words_.collect()), 1)}
+    # numbers instead of words, so that what comes to the driver is a few bytes a word
+    numbers = items.sparkSession.createDataFrame(list(vocabulary.items()), "w string, k int")
+    spread = items.select("item_id", "shared", F.monotonically_increasing_id().alias("row"), "words")
+    spread = cut(spread, "block")
+    coded = spread.select("row", F.posexplode("words").alias("p", "w")).join(numbers, "w").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("p", "k"))).alias("c"))
+    rows = spread.select("row", "item_id", "shared").join(coded, "row").select("item_id", F.col("c.k").alias("k"), "shared").toPandas()
+    return probes(list(zip(rows["item_id"].tolist(), rows["k"], rows["shared"], strict=True)), vocabulary, least)
 
 
 def suffix_array(w: np.ndarray, depth: int) -> np.ndarray:
@@ -105,12 +138,12 @@ def suffix_array(w: np.ndarray, depth: int) -> np.ndarray:
         length *= 2
 
 
-def _compare(w: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """-1, 0 or 1 as the text at `starts` sorts before, with or after the rows."""
+def _compare(w: np.ndarray, starts: np.ndarray, p: Probes, rows: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the text at `starts` sorts before, with or after the items' words at `rows`."""
     out = np.zeros(len(starts), dtype=np.int8)
     live = np.arange(len(starts))
-    for k in range(rows.shape[1]):
-        a, b = w[starts[live] + k], rows[live, k]
+    for k in range(p.least):
+        a, b = w[starts[live] + k], p.words[rows[live] + k]
         less, more = a < b, a > b
         out[live[less]], out[live[more]] = -1, 1
         live = live[~(less | more)]
@@ -119,14 +152,14 @@ def _compare(w: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(w: np.ndarray, sa: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the range [lo, hi) of the suffix array that starts with it; a binary search over all rows at once."""
+def search(w: np.ndarray, sa: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the range [lo, hi) of the suffix array that starts with it; a binary search over all at once."""
     bounds = []
     for upper in (False, True):
-        lo, hi = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), len(sa), dtype=np.int64)
+        lo, hi = np.zeros(len(p.start), dtype=np.int64), np.full(len(p.start), len(sa), dtype=np.int64)
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
-            c = _compare(w, sa[mid], rows[open_])
+            c = _compare(w, sa[mid], p, p.start[open_])
             right = (c <= 0) if upper else (c < 0)
             lo[open_[right]] = mid[right] + 1
             hi[open_[~right]] = mid[~right]
@@ -146,12 +179,12 @@ def matches(docs: list[np.ndarray], p: Probes) -> pd.DataFrame:
                 doc_of.append(np.full(b - a + 1, d))
                 pos_of.append(np.arange(a, b + 1))
     empty = pd.DataFrame({"doc": np.array([], dtype=np.int64), "item_id": np.array([], dtype=np.int64), "words": np.array([], dtype=np.int64), "at": np.array([], dtype=np.int64)})
-    if not kept or not len(p.rows):
+    if not kept or not len(p.start):
         return empty
     text, doc, pos = np.concatenate(kept), np.concatenate(doc_of), np.concatenate(pos_of)
     sa = suffix_array(text, p.least)
     padded = np.concatenate([text, np.zeros(p.least, dtype=text.dtype)])
-    lo, hi = search(padded, sa, p.rows)
+    lo, hi = search(padded, sa, p)
     hit = np.flatnonzero(hi > lo)
     found = []
     size, begin = (hi - lo)[hit], 0
@@ -172,19 +205,31 @@ def matches(docs: list[np.ndarray], p: Probes) -> pd.DataFrame:
     return pd.DataFrame({"doc": best["doc"], "item_id": best["item_id"], "words": best["n"] + p.least - 1, "at": pos[best["start"].to_numpy()]})
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`doc_id, item_id, words, at`: documents and the items they leak, with the length in words of the longest
     verbatim match and the word at which it starts in the document.
 
     Null and empty texts, and items of fewer than `least` words, match nothing. Repeated rows give one result. A long
     text stays whole; shards end between documents. Rows of an item that several items share don't count."""
     ship(documents.sparkSession)
-    spark = documents.sparkSession
-    items = eval_items.select(F.col("item_id").cast("bigint"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"{size} bytes of evaluation items; each task can hold {MAX_ITEM_BYTES}")
-    p = spark.sparkContext.broadcast(probes([(r[0], r[1]) for r in items.collect()], least))
+    items = coded_items(eval_items, least)
+    size = items.agg(F.sum("size")).head()[0] or 0
+    blocks = 1 + int(size) // block_bytes
+    if blocks > 1:
+        items = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "blocks")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
+    found = None
+    for k in range(blocks):
+        one = _found(rows, block_of_probes(items.where(F.col("block") == k) if blocks > 1 else items, least), shard_words)
+        if blocks > 1:
+            one = cut(one, "found")  # a pass ends before the next block is brought in
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", (-F.col("at")).alias("at"))).alias("m")).select("doc_id", "item_id", "m.words", (-F.col("m.at")).alias("at"))
+
+
+def _found(rows: DataFrame, block: Probes, shard_words: int) -> DataFrame:
+    """`doc_id, item_id, words, at` of one pass over the corpus."""
+    p = rows.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = p.value.vocabulary.get
@@ -209,9 +254,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, shard
         if ids:
             yield flush()
 
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
-    found = rows.mapInPandas(scan, "doc_id bigint, item_id bigint, words bigint, at bigint")
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", (-F.col("at")).alias("at"))).alias("m")).select("doc_id", "item_id", "m.words", (-F.col("m.at")).alias("at"))
+    return rows.mapInPandas(scan, "doc_id bigint, item_id bigint, words bigint, at bigint")
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def test_against_brute_force(spark):
     for least in (4, 6):
         e = spark.createDataFrame(items, "item_id bigint, text string")
         df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as words", "'x' as item_id")
-        for shard in (50, 10**6):
-            got = L.leaks(df, e, least, shard).collect()
+        for shard, block in ((50, 10**6), (10**6, 150)):  # in one block of items, and in several
+            got = L.leaks(df, e, least, shard, block).collect()
             assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items, least)
             assert len(got) == len({(r.doc_id, r.item_id) for r in got}) and all(r.words >= least for r in got)
 
