@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cambium.llm import docpairs, handwritten, leakage, packing, splitting
 from cambium.session import table
@@ -26,6 +27,11 @@ def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.machine_made(table(spark, d, "documents"))
 
 
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each kind of evidence finds, and which none but conventions do."""
+    return p5_reasons(spark, d).groupBy("reason", "evidence").agg(F.count("*").alias("n"))
+
+
 def p5_hand_written(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.hand_written(table(spark, d, "documents")).select("doc_id", "repo", "path")
 
@@ -56,6 +62,6 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_reasons, p5_hand_written, p7_packs, p7_fill, p8_found, p8_longest, p8_clean, p9_pieces)
+    f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_reasons, p5_evidence, p5_hand_written, p7_packs, p7_fill, p8_found, p8_longest, p8_clean, p9_pieces)
 }
 ORACLES: dict[str, str] = {}
