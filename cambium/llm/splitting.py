@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +32,15 @@ def _table(*codes: int) -> np.ndarray:
 BLANK_BYTES, SPACE_BYTES, STOP_BYTES = _table(9, 10, 13, 32), _table(9, 32), _table(*b".!?;}")
 
 
-def marks(text: str, t: ByteTokenizer) -> tuple[str, np.ndarray, np.ndarray | None]:
+def encoded(text: str, t: ByteTokenizer) -> np.ndarray:
+    steps = [t.encode(p) for p in pieces(text)] if text else [np.zeros(0, dtype=np.int64)]
+    return steps[0] if len(steps) == 1 else np.concatenate(steps)
+
+
+def marks(text: str, ids: np.ndarray, t: ByteTokenizer) -> tuple[bytes, np.ndarray, np.ndarray | None]:
     """The boundary character of each token, the numbers of characters up to its end, and those of bytes (null where
     they are the same)."""
     raw = np.frombuffer(text.encode("utf-8") + b" ", dtype=np.uint8)  # the blank stands for what follows the text
-    ids = np.concatenate([t.encode(p) for p in pieces(text)]) if text else np.zeros(0, dtype=np.int64)
     ends = np.cumsum(t.sizes[ids])
     nxt, last = raw[ends], raw[ends - 1]
     before = np.where(ends > 1, raw[ends - 2], 0)
@@ -54,28 +58,38 @@ def marks(text: str, t: ByteTokenizer) -> tuple[str, np.ndarray, np.ndarray | No
     code[empty] = ord("P")
     ends = ends.astype(np.int32)
     if plain:
-        return code.tobytes().decode("ascii"), ends, None
+        return code.tobytes(), ends, None
     code[(nxt & 0xC0) == 0x80] = ord("x")
-    return code.tobytes().decode("ascii"), np.cumsum((raw & 0xC0) != 0x80)[ends - 1].astype(np.int32), ends
+    return code.tobytes(), np.cumsum((raw & 0xC0) != 0x80)[ends - 1].astype(np.int32), ends
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    sizes = [0 if a is None else len(a) for a in arrays]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    values = np.concatenate([np.zeros(0, dtype=np.int32), *[a for a in arrays if a is not None]])
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()), mask=pa.array([a is None for a in arrays], pa.bool_()))
 
 
 def marked(documents: DataFrame, more_than: int, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """`doc_id, text, marks, ends, byte_ends` of the documents with more than so many tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                m = marks(text, t)
-                if len(m[0]) > more_than:
-                    rows.append((doc_id, text, *m))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "marks", "ends", "byte_ends"])
+            keep, found = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                ids = encoded(text, t)
+                if len(ids) > more_than:
+                    keep.append(k)
+                    found.append(marks(text, ids, t))
+            rows = pa.array(keep, pa.int64())
+            columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array([m[0] for m in found], pa.binary()).cast(pa.string()), _lists([m[1] for m in found]), _lists([m[2] for m in found])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "marks", "ends", "byte_ends"])
 
     ship(documents.sparkSession)
     # no text has more tokens than bytes
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(f"doc_id is not null and octet_length(text) > {int(more_than)}")
-    return rows.mapInPandas(run, "doc_id bigint, text string, marks string, ends array<int>, byte_ends array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, text string, marks string, ends array<int>, byte_ends array<int>")
 
 
 BLOCK = 128
