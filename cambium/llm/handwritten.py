@@ -113,6 +113,7 @@ COPY_SHARE = 0.6  # of a file's distinct long lines; own code stays near a quart
 LONG_LINE = 25
 REPEATED_LINE = 12  # characters, numbers aside
 ALIKE = 7
+COMMENTS = ("//", "#", "*", "/*")
 INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
 
 
@@ -183,7 +184,7 @@ def _by_language(rule) -> Column:
 
 def judged(documents: DataFrame) -> DataFrame:
     """Documents with a repo and path, with what text and path alone tell: `doc_id, repo, path, language`, the layout
-    statistics, `generated`, `minified`, `data`, `by_layout` (one of these without a look at names and banners), `third_party`, `library`, `owner`, and `lines`, hashes of the distinct
+    statistics, `generated`, `minified`, `data`, `packed` and `repeated` (minified and generated by layout alone), `third_party`, `library`, `owner`, and `lines`, hashes of the distinct
     long lines, and `whole`, a hash of all lines but imports and comments (null without any). Null and empty texts are judged by path."""
     d = documents.select("doc_id", "repo", plain_path(F.col("path")).alias("path"), F.coalesce("text", F.lit("")).alias("text")).where(~blank(F.col("path")) & F.col("repo").isNotNull())
     d = d.withColumn("text", F.translate(F.regexp_replace("text", "\r\n?|[\u2028\u2029]", "\n"), INVISIBLE, "")).withColumn("language", _language(F.col("path")))
@@ -200,19 +201,20 @@ def judged(documents: DataFrame) -> DataFrame:
     minified = _by_language(lambda x: (F.col("longest") >= x.longest) & ((F.col("mean") >= x.mean) | (F.col("blanks") <= x.blanks)))
     # accessors and tables written out by a tool repeat their lines but for numbers
     squeezed = F.split(F.regexp_replace(t, "[ \t]+", " "), "\n ?")
-    numberless = F.sort_array(F.filter(F.transform(F.array_distinct(squeezed), lambda x: F.translate(x, "0123456789", "")), lambda x: F.length(x) >= REPEATED_LINE))
+    numberless = F.sort_array(F.filter(F.transform(F.array_distinct(squeezed), lambda x: F.translate(x, "0123456789", "")), lambda x: (F.length(x) >= REPEATED_LINE) & ~_any_start(x, COMMENTS)))
     alike = F.size(F.filter(F.zip_with("numberless", F.slice("numberless", F.lit(ALIKE + 1), F.greatest(F.size("numberless"), F.lit(1))), lambda a, b: a == b), lambda x: x))
     d = d.withColumn("numberless", numberless).withColumn("alike", alike)
     repeated = _by_language(lambda x: (F.size("numberless") >= x.lines) & (F.col("alike") >= F.size("numberless") * x.repeated))
-    no_text = ("import ", "from ", "use ", "package ", "//", "#", "*", "/*")
+    no_text = ("import ", "from ", "use ", "package ", *COMMENTS)
     long_lines = F.filter(squeezed, lambda x: (F.length(x) > LONG_LINE) & ~_any_start(x, no_text))
     body = F.filter(F.transform(squeezed, lambda x: F.trim(x)), lambda x: (x != "") & ~_any_start(x, no_text))
     return d.select(
         "doc_id", "repo", "path", "language", "longest", "mean", "blanks", "digits", "alnum", "numbers", "encoded", "statements",
-        (repeated & ~data | F.col("path").rlike(GENERATED_PATH) | generated | _any(t, COMPILED_HINTS) & t.rlike(COMPILED)).alias("generated"),
+        (F.col("path").rlike(GENERATED_PATH) | generated | _any(t, COMPILED_HINTS) & t.rlike(COMPILED)).alias("generated"),
         (minified & ~data | F.col("path").rlike(MINIFIED_PATH)).alias("minified"),
         data.alias("data"),
-        (minified | data | repeated).alias("by_layout"),
+        (minified & ~data).alias("packed"),
+        (repeated & ~data).alias("repeated"),
         (F.col("path").rlike(THIRD_PARTY_DIR) | banner.isNotNull()).alias("third_party"),
         F.lower(F.coalesce(banner, path_library)).alias("library"),
         F.lower(owner).alias("owner"),
@@ -222,9 +224,9 @@ def judged(documents: DataFrame) -> DataFrame:
 
 
 def machine_made(documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """`repo, path, reason, evidence`, one row a file: minified, data or generated by its layout, then generated, minified by name,
-    vendored or copied (the first that applies). The evidence is layout, convention (names, folders, banners, helpers of
-    compilers) or content (of a library).
+    """`repo, path, reason, evidence`, one row a file: data, minified, generated, vendored or copied (the first that
+    applies). The evidence is layout where that suffices, convention (names, folders, banners, helpers of compilers) or
+    content (of a library).
 
     A file is judged by all its documents. With `files`, only files listed there (in plain form) count. Documents
     without repo or path are left out; repeated rows and rows collected again make no difference; empty tables give no
@@ -249,10 +251,11 @@ def machine_made(documents: DataFrame, files: DataFrame | None = None) -> DataFr
     telling = of_libraries.groupBy("line").agg(F.min("lib").alias("lib"), F.max("lib").alias("other")).where("lib = other").select("line", "lib")
     rest = known.where(~F.col("third_party") & plain & (F.size("lines") >= 3)).select("doc_id", F.size("lines").alias("n"), F.explode("lines").alias("line"))
     copied = rest.join(telling, "line").groupBy("doc_id", "lib").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= F.col("n") * COPY_SHARE).select("doc_id", F.lit(True).alias("copied")).unionByName(same_whole).distinct()
-    order = [("by_layout", F.when(F.col("data"), "data").when(F.col("minified"), "minified").otherwise("generated"), "layout"), ("generated", F.lit("generated"), "convention"), ("minified", F.lit("minified"), "convention"), ("third_party", F.lit("vendored"), "convention"), ("copied", F.lit("copied"), "content")]
+    told = F.when(F.col("repeated"), "layout").otherwise("convention")
+    order = [("data", "data", F.lit("layout")), ("packed", "minified", F.lit("layout")), ("generated", "generated", told), ("minified", "minified", F.lit("convention")), ("third_party", "vendored", F.lit("convention")), ("repeated", "generated", told), ("copied", "copied", F.lit("content"))]
     reason = F.lit(None)
     for k, (flag, name, evidence) in reversed(list(enumerate(order))):
-        reason = F.when(F.col(flag), F.struct(F.lit(k).alias("order"), name.alias("reason"), F.lit(evidence).alias("evidence"))).otherwise(reason)
+        reason = F.when(F.col(flag), F.struct(F.lit(k).alias("order"), F.lit(name).alias("reason"), evidence.alias("evidence"))).otherwise(reason)
     found = known.join(copied, "doc_id", "left").select("repo", "path", reason.alias("r")).where("r is not null").groupBy("repo", "path").agg(F.min("r").alias("r")).select("repo", "path", "r.reason", "r.evidence")
     if files is None:
         return found
