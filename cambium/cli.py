@@ -9,7 +9,7 @@ from typing import Any
 
 from cambium.operators.indexing import index_repo, joined_graphs, stored_graph
 from cambium.server import Tools, serve
-from cambium.session import build_session
+from cambium.session import build_session, shared_folder
 from cambium.sources.store import Registry, SnapshotStore, slug
 from cambium.streaming.watch import cycle, watch
 
@@ -53,7 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     name = slug(os.path.basename(root))
 
     def store_of(repo_root: str) -> SnapshotStore:
-        return SnapshotStore(spark, f"file://{registry.folder.resolve()}/stores/{slug(repo_root)}")
+        base = f"file://{registry.folder.resolve()}" if spark.sparkContext.master.startswith("local") else shared_folder(spark)
+        return SnapshotStore(spark, f"{base}/stores/{slug(repo_root)}")
 
     def tools() -> Tools:
         if a.verb.startswith("workspace"):
@@ -83,19 +84,19 @@ def main(argv: list[str] | None = None) -> int:
         elif v == "serve":
             serve(tools)
         elif v in ("impact", "dependents", "why", "workspace-impact"):
-            out = getattr(tools(), v.removeprefix("workspace-"))(a.symbol)
+            out = tools().answer(v.removeprefix("workspace-"), symbol=a.symbol)
         elif v == "would-break":
-            out = tools().would_break(a.symbol, a.change, a.new_signature)
+            out = tools().answer("would_break", symbol=a.symbol, change=a.change, new_signature=a.new_signature)
         elif v == "workspace-would-break":
-            out = tools().would_break(a.symbol)
+            out = tools().answer("would_break", symbol=a.symbol)
         elif v == "changes":
-            out = tools().changes()
+            out = tools().answer("changes")
         elif v in ("search", "workspace-search"):
-            out = tools().search(a.query, getattr(a, "limit", 25))
+            out = tools().answer("search", query=a.query, limit=getattr(a, "limit", 25))
         elif v == "symbols-in-file":
-            out = tools().symbols_in_file(a.file)
+            out = tools().answer("symbols_in_file", file=a.file)
         elif v == "audit":
-            out = tools().audit(a.target)
+            out = tools().answer("audit", target=a.target)
         elif v == "graph-create":
             registry.create(a.name)
         elif v == "graph-list":

@@ -9,8 +9,9 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -402,33 +403,50 @@ def _java_imports(p: Parsed, text: str, code: str) -> None:
 IMPORTS = {"typescript": _ts_imports, "go": _go_imports, "rust": _rust_imports, "java": _java_imports}
 
 
-def parse(text: str, path: str, root: str | None = None) -> Parsed | None:
+@dataclass(frozen=True)
+class Backend:
+    """What a language needs: its name, `parse`, which adds the records of a text, `module` (path, root) and `candidates`
+    (spec, path, root), the modules an import may mean. Functions have to be known to the workers: of a module they
+    can import, or plain closures."""
+
+    language: str
+    parse: Callable[[Parsed, str], None]
+    module: Callable[[str, str | None], str | None]
+    candidates: Callable[[str, str, str | None], list[str]]
+
+
+def _backend(language: str) -> Backend:
+    own = parse_python if language == "python" else partial(parse_braces, language=language)
+    return Backend(language, own, lambda path, root: module_id(path, language, root), lambda spec, path, root: spec_candidates(spec, below_root(path, language, root), language))
+
+
+BACKENDS = {ext: _backend(language) for ext, language in S.LANGUAGES.items()}  # by file extension
+
+
+def parse(text: str, path: str, root: str | None = None, backends: Mapping[str, Backend] = BACKENDS) -> Parsed | None:
     """Everything found in one file, or null where its language has no module there. `root` is the import root."""
-    language = S.language_of(path)
-    if not language or path.endswith((".d.ts", "_test.go")):
+    backend = backends.get(path.rpartition(".")[2].lower())
+    if not backend or path.endswith((".d.ts", "_test.go")):
         return None
-    module = module_id(path, language, root)
+    module = backend.module(path, root)
     if not module:
         return None
     text = S.normalized(text or "")
     p = Parsed(module, path)
     p.symbol(module, "module", 1, text.count("\n") + 1, exported=True, decorated=False, external_entry=False)
-    if language == "python":
-        parse_python(p, text)
-    else:
-        parse_braces(p, text, language)
+    backend.parse(p, text)
     for r in p.rows:
         if r["record"] == "import":
-            r["candidates"] = spec_candidates(str(r["target"]), below_root(path, language, root), language)
+            r["candidates"] = backend.candidates(str(r["target"]), path, root)
     return p
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(batches: Iterator[pd.DataFrame], backends: Mapping[str, Backend]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for repo, path, text, version, root in zip(batch["repo"], batch["path"], batch["text"], batch["version"], batch["root"], strict=True):
-            if (p := parse(text, path, root)) is not None:
-                common = {"repo": repo, "path": path, "version": version, "language": S.language_of(path), "module": p.module}
+            if (p := parse(text, path, root, backends)) is not None:
+                common = {"repo": repo, "path": path, "version": version, "language": backends[path.rpartition(".")[2].lower()].language, "module": p.module}
                 rows += [tuple((common | r).get(c) for c in COLUMNS) for r in p.rows]
         yield pd.DataFrame(rows, columns=COLUMNS)
 
@@ -481,24 +499,40 @@ def latest_texts(documents: DataFrame) -> DataFrame:
     return rows.join(old, "doc_id", "left_anti").select("repo", "path", "text")
 
 
-def extract(sources: DataFrame, roots: DataFrame | None = None) -> Extracted:
+def extract(sources: DataFrame, roots: DataFrame | None = None, backends: Mapping[str, Backend] | None = None) -> Extracted:
     """Records of source files (repo, path, text), written once. Rows without repo, path or text give nothing. Versions of
     one path stay apart: a record's `version` is a hash of its text. `roots` are the `import_roots`, by default those of the
-    sources themselves."""
+    sources themselves. `backends`, by file extension, add languages or replace ours."""
     ship(sources.sparkSession)
     rows = sources.select("repo", plain_path(F.col("path")).alias("path"), "text").where(F.col("repo").isNotNull() & ~blank(F.col("path")) & F.col("text").isNotNull())
     rows = rows.withColumn("version", F.xxhash64("text")).join(import_roots(rows) if roots is None else roots, "repo", "left")
-    return Extracted(cut(rows.mapInPandas(_extract, SCHEMA), "extracted"))
+    known = None if backends is None else {**BACKENDS, **backends}  # ours are found by the workers themselves
+    return Extracted(cut(rows.mapInPandas(lambda batches: _extract(batches, known or BACKENDS), SCHEMA), "extracted"))
+
+
+@dataclass(frozen=True)
+class Resolution:
+    """The edges of an extraction (repo, source, target, kind, method), its unresolved calls, inheritances and renderings
+    with their bucket (repo, source, target_text, kind, member, bucket), and its `star_exports`."""
+
+    edges: DataFrame
+    unresolved: DataFrame
+    stars: DataFrame
 
 
 def resolved(x: Extracted) -> tuple[DataFrame, DataFrame]:
-    """The edges of an extraction (repo, source, target, kind, method), and its unresolved calls, inheritances and
-    renderings with their bucket (repo, source, target_text, kind, member, bucket)."""
+    """Edges and unresolved usages of a `resolution`."""
+    r = resolution(x)
+    return r.edges, r.unresolved
+
+
+def resolution(x: Extracted) -> Resolution:
     symbols = cut(x.symbols.select("repo", "qname", "name", "kind", "module").distinct(), "universe")
     modules = symbols.where("kind = 'module'").select("repo", F.col("qname").alias("module"))
     imports = cut(first_existing(x.imports, modules.distinct()), "imports")
     raw = x.edges.select("repo", F.concat_ws(SEP, "path", F.col("version").cast("string"), F.col("pos").cast("string")).alias("id"), "module", "source", "target", "kind", "pos")
-    r = Resolver(symbols, imports, star_exports(imports))
+    stars = star_exports(imports)
+    r = Resolver(symbols, imports, stars)
     # bases first: members are then looked for on ancestors too
     inherits = raw.where("kind = 'inherits'")
     bases = inherits.join(r.resolve(inherits), ["repo", "id"]).select("repo", F.col("source").alias("cls"), F.col("hit").alias("base"), "pos")
@@ -506,7 +540,7 @@ def resolved(x: Extracted) -> tuple[DataFrame, DataFrame]:
     found = raw.join(hits, ["repo", "id"]).select("repo", "source", F.col("hit").alias("target"), "kind", "method")
     edges = found.unionByName(r.import_edges()).distinct()
     open_ = raw.where("kind in ('calls', 'inherits', 'renders')").join(hits, ["repo", "id"], "left_anti").select("repo", "source", F.col("target").alias("target_text"), "kind")
-    return edges, bucket(open_, symbols).select("repo", "source", "target_text", "kind", F.substring_index("target_text", ".", -1).alias("member"), "bucket")
+    return Resolution(edges, bucket(open_, symbols).select("repo", "source", "target_text", "kind", F.substring_index("target_text", ".", -1).alias("member"), "bucket"), stars)
 
 
 def star_exports(imports: DataFrame) -> DataFrame:

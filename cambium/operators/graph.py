@@ -16,7 +16,8 @@ from cambium.functions.signature import member_names, params_of, signature_risk
 from cambium.session import ship, table
 
 KEY = ["repo", "qname"]
-# Kinds of edges, and how far a way of resolving is trusted.
+# Kinds of edges, how far a way of resolving is trusted, the words of subjects that give reasons, and the
+# endings of source files.
 DEPENDENCY_KINDS = ("calls", "inherits", "renders", "imports", "uses_type")
 USAGE_KINDS = ("calls", "inherits", "renders")
 SURFACE_KINDS = ("calls", "inherits", "renders", "imports")
@@ -249,13 +250,14 @@ def audit_files(g: CodeGraph, targets: DataFrame) -> tuple[DataFrame, DataFrame]
     """Brief of each file in `targets` (repo, path): its report row, and the files that depend on it.
 
     Symbols other than modules are audited, or all where a file has nothing else. The report takes risk and confidence
-    of the symbol with the greatest confidence above 0; a file without dependants stays at low."""
+    of the symbol with the greatest confidence above 0, named `worst` (ties: the least name); a file without dependants
+    stays at low and names none."""
     inside = g.symbols.join(targets.select("repo", F.col("path").alias("file_path")).distinct(), ["repo", "file_path"])
     only = F.min(F.col("kind") == "module").over(Window.partitionBy("repo", "file_path"))
     picked = inside.withColumn("only", only).where("kind <> 'module' or only").select("repo", "qname", F.col("file_path").alias("path"))
     wb = would_break(g, picked.select(*KEY)).join(picked, KEY)
-    report = wb.groupBy("repo", "path").agg(F.count("*").alias("symbols_audited"), F.max("confidence").alias("confidence"))
-    report = report.select("repo", "path", "symbols_audited", F.when(F.col("confidence") > 0, "high").otherwise("low").alias("risk"), "confidence")
+    report = wb.groupBy("repo", "path").agg(F.count("*").alias("symbols_audited"), F.min(F.struct(-F.col("confidence"), "qname")).alias("w"), F.max("confidence").alias("confidence"))
+    report = report.select("repo", "path", "symbols_audited", F.when(F.col("confidence") > 0, "high").otherwise("low").alias("risk"), "confidence", F.when(F.col("confidence") > 0, F.col("w.qname")).alias("worst"))
     d = dependents(g, picked.select("repo", F.col("qname").alias("root"))).drop("path").join(picked.select("repo", F.col("qname").alias("root"), "path"), ["repo", "root"])
     files = d.groupBy("repo", "path", F.col("file_path").alias("file")).agg(F.array_join(F.sort_array(F.collect_set("relation")), ",").alias("relations"), F.round(F.max("confidence"), 2).alias("confidence"))
     return report, files
@@ -312,6 +314,12 @@ def edges_replaced(g: CodeGraph, replaced: DataFrame, fresh: DataFrame) -> DataF
     return g.edges.join(inside, ["repo", "source_qname"], "left_anti").unionByName(fresh.select(*g.edges.columns)).distinct()
 
 
+def mark_deleted(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """`files` as last stored, with those `listed` (repo, path) no longer names marked `deleted`; their rows stay."""
+    now = listed.select("repo", "path", F.lit(True).alias("_there")).distinct()
+    return files.join(now, ["repo", "path"], "left").withColumn("deleted", F.col("_there").isNull()).drop("_there")
+
+
 def without_files(g: CodeGraph, removed: DataFrame) -> CodeGraph:
     """The graph after files (repo, path) are gone: their symbols go, and edges at either end of those."""
     files = g.files.join(removed.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
@@ -335,6 +343,7 @@ def reconcile_candidates(g: CodeGraph, changed: DataFrame) -> DataFrame:
 
 # Evaluation
 
+# Kinds of symbols that can be mutated, and the mutations of each.
 MUTABLE_KINDS = ("function", "constant", "class", "interface", "type_alias", "enum", "method")
 MUTATIONS = {"remove-declaration": MUTABLE_KINDS, "rename": MUTABLE_KINDS, "add-required-param": ("function", "method", "constant")}
 

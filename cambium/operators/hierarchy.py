@@ -124,12 +124,13 @@ def hierarchy(links: DataFrame, scope: Column, child: Column, parent: Column) ->
     )
 
 
-def ancestor_pairs(placed: DataFrame, levels: int = 40) -> DataFrame:
+def ancestor_pairs(placed: DataFrame, levels: int = 62) -> DataFrame:
     """`tree, node, ancestor, entry`: all ancestor-descendant pairs of `hierarchy` rows, an ancestor per row.
 
     An interval of positions is a disjoint union of dyadic blocks, at most two a level; a position lies in one block
     of each level. So the containment test is an equality of (tree, level, block), no pairs are tried in vain, and
-    each true pair is found once. `levels` bounds tour lengths at 2**levels."""
+    each true pair is found once. 62 levels hold every position a
+    number of 64 bits can give."""
     p = placed.select("tree", "node", "entry", "exit", "descendants")
     # positions count from the end: entry < exit <= -1; shifted to non-negative by taking the distance
     inner = p.select("tree", F.col("node").alias("ancestor"), F.col("entry").alias("a_entry"), (-F.col("exit") + 1).alias("lo"), (-F.col("entry")).alias("hi"), "descendants").where("descendants > 0")  # distances of the entries below it: lo <= d < hi

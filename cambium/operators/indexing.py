@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cambium.operators import extract as X
 from cambium.operators import graph as G
-from cambium.session import cut
+from cambium.session import cut, scope
 from cambium.sources.repository import list_sources
 from cambium.sources.store import SnapshotStore
 
@@ -23,41 +24,52 @@ def index_repo(spark: SparkSession, root: str, store: SnapshotStore, repo: str,
     the whole repository, so the graph never depends on the order of runs. With `dominant_only` files of other
     languages than the most frequent are left out."""
     began = time.time()
+    with scope(spark):
+        return _index(spark, root, store, repo, force, dominant_only) | {"duration_s": round(time.time() - began, 3)}
+
+
+def _index(spark: SparkSession, root: str, store: SnapshotStore, repo: str, force: bool, dominant_only: bool) -> dict:
     listed = cut(list_sources(spark, root, repo), "listing")
+    languages = [r["language"] for r in G.dominant_language(listed).collect()]
     if dominant_only:
-        best = [r["language"] for r in G.dominant_language(listed).collect()]
-        listed = listed.where(F.col("language").isin(best)) if best else listed.where("false")
+        listed = listed.where(F.col("language").isin(languages)) if languages else listed.where("false")
+    roots = cut(X.import_roots(listed), "roots")
+    layout = json.dumps([r["root"] for r in roots.collect()])
     listed = listed.withColumn("module_qname", F.lit(None).cast("string"))
-    fresh = force or not store.exists() or store.get_meta("engine_version") != ENGINE_VERSION
+    # another import root gives every module another name
+    fresh = force or not store.exists() or store.get_meta("engine_version") != ENGINE_VERSION or store.get_meta("import_root") != layout
+    stored = None if fresh else store.read("files")
     if fresh:
         changed, removed = listed.select("repo", "path"), listed.select("repo", "path").where("false")
     else:
-        old = store.read("files")
-        diff = cut(G.snapshot_diff(old.withColumn("module_qname", F.lit(None).cast("string")), listed), "diff")
+        diff = cut(G.snapshot_diff(stored.where("not deleted").withColumn("module_qname", F.lit(None).cast("string")), listed), "diff")
         changed, removed = diff.where("change <> 'removed'").select("repo", "path"), diff.where("change = 'removed'").select("repo", "path")
-    records = X.extract(listed.join(changed, ["repo", "path"], "left_semi")).records
+    records = X.extract(listed.join(changed, ["repo", "path"], "left_semi"), roots).records
     if not fresh:
         kept = store.read("records").join(changed.unionByName(removed), ["repo", "path"], "left_anti")
         records = cut(kept.unionByName(records), "records")
     x = X.Extracted(records)
-    edges, unresolved = X.resolved(x)
-    edges, unresolved = cut(edges, "edges"), cut(unresolved, "unresolved")
+    found = X.resolution(x)
+    edges, unresolved = cut(found.edges, "edges"), cut(found.unresolved, "unresolved")
     # two files that claim one name: the first path keeps it
     symbols = x.symbols.withColumnRenamed("path", "file_path").groupBy("repo", "qname").agg(*[F.min_by(c, "file_path").alias(c) for c in ("name", "kind", "signature", "line_start", "line_end", "external_hint", "exported", "decorated", "external_entry")], F.min("file_path").alias("file_path"))
     symbols = cut(symbols, "symbols")
     modules = x.symbols.where("kind = 'module'").select("repo", "path", F.col("qname").alias("module_qname")).distinct()
-    files = listed.drop("text", "module_qname").join(modules, ["repo", "path"], "left")
+    files = listed.drop("text", "module_qname").join(modules, ["repo", "path"], "left").withColumn("deleted", F.lit(False))
+    if not fresh:  # files that are gone stay known, marked as such
+        files = files.unionByName(G.mark_deleted(stored, listed).where("deleted").select(*files.columns))
     store.write(
-        {"files": files, "records": records, "symbols": symbols, "edges": edges.withColumnsRenamed({"source": "source_qname", "target": "target_qname"}), "unresolved": unresolved.withColumnRenamed("source", "source_qname")},
-        {"engine_version": ENGINE_VERSION, "repo_root": root},
+        {"files": files, "records": records, "symbols": symbols, "edges": edges.withColumnsRenamed({"source": "source_qname", "target": "target_qname"}), "unresolved": unresolved.withColumnRenamed("source", "source_qname"), "star_exports": found.stars},
+        {"engine_version": ENGINE_VERSION, "repo_root": root, "import_root": layout},
     )
-    n_changed, n_removed = changed.count(), removed.count()
+    changed_files = [r["path"] for r in changed.orderBy("path").collect()]
     by_method = {r["method"]: r["n"] for r in edges.groupBy("method").agg(F.count("*").alias("n")).collect()}
     buckets = {r["bucket"]: r["n"] for r in unresolved.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    n_files = files.count()
+    n_files = listed.count()
+    reconciled = 0 if fresh or not (changed_files or removed.count()) else G.reconcile_candidates(stored_graph(store), changed).count()
     return {
-        "repo": repo, "files": n_files, "changed": n_changed, "changed_files": [r["path"] for r in changed.orderBy("path").limit(1000).collect()], "removed": n_removed, "untouched": n_files - n_changed, "symbols": symbols.count(), "edges": sum(by_method.values()), "edges_by_method": by_method,
-        "unresolved": sum(buckets.values()), **{f"unresolved_{b}": buckets.get(b, 0) for b in ("external", "in_repo", "dynamic")}, "parse_error_files": x.errors.select("path").distinct().count(), "duration_s": round(time.time() - began, 3),
+        "repo": repo, "language": languages[0] if dominant_only and languages else None, "files": n_files, "changed": len(changed_files), "changed_files": changed_files, "removed": removed.count(), "untouched": n_files - len(changed_files), "reconciled": reconciled, "symbols": symbols.count(),
+        "edges": sum(by_method.values()), "edges_by_method": by_method, "unresolved": sum(buckets.values()), **{f"unresolved_{b}": buckets.get(b, 0) for b in ("external", "in_repo", "dynamic")}, "parse_error_files": sorted(r["path"] for r in x.errors.select("path").distinct().collect()),
     }
 
 
@@ -66,7 +78,7 @@ def stored_graph(store: SnapshotStore, contracts: DataFrame | None = None) -> G.
     spark = store.spark
     contracts = contracts if contracts is not None else spark.createDataFrame([], "id bigint, consumer_repo string, consumer_qname string, provider_repo string, provider_qname string, kind string")
     u = store.read("unresolved").withColumn("id", F.lit(None).cast("bigint"))
-    return G.CodeGraph(store.read("symbols"), store.read("files"), store.read("edges"), u, contracts)
+    return G.CodeGraph(store.read("symbols"), store.read("files").where("not deleted"), store.read("edges"), u, contracts)
 
 
 def joined_graphs(graphs: list[G.CodeGraph], contracts: DataFrame) -> G.CodeGraph:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.functions.plain import plain_path
+from cambium.functions.plain import plain_path, plain_qname
 from cambium.operators import graph as G
 from cambium.operators import extract, incremental, resolve
 from cambium.plans.problems import _P1, sql_kind, sql_path, sql_qname, sql_sha
@@ -214,9 +214,6 @@ def would_break_other(spark, d):
     return G.would_break(g, g.symbols, "visibility")
 
 
-_OLD_SIG = "old as (select repo, {q} qname, max(signature) new_signature from symbols where removed_at is not null and signature is not null group by 1, 2)"
-
-
 @query()
 def would_break_signature(spark, d):
     """Going back to the signature of a removed row of the same symbol."""
@@ -232,7 +229,7 @@ def would_break_members(spark, d):
 
 def _former_signatures(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "symbols").where("removed_at is not null and signature is not null")
-    return old.groupBy("repo", "qname").agg(F.max("signature").alias("new_signature"))
+    return old.groupBy("repo", plain_qname(F.col("qname")).alias("qname")).agg(F.max("signature").alias("new_signature"))
 
 
 @query(_WITH + _ONE + f"h as (select x.*, {_CONF.format(m='x')} c from edg x join roots r on r.repo = x.repo and r.root = x.target_qname where x.kind in ({_ALL_KINDS})) select h.repo, target_qname root, source_qname qname, y.kind, y.file_path, h.kind edge_kind, c confidence, case when h.kind = 'imports' then 'imports ' || target_qname || ' by name (' || method || ')' else h.kind || ' ' || source_qname || ' (' || method || ' resolution)' end evidence from h join sym y on y.repo = h.repo and y.qname = source_qname")
@@ -293,7 +290,7 @@ def audit_file(spark, d):
 )
 def audit_file_reports(spark, d):
     g = G.load_graph(spark, d)
-    return G.audit_files(g, g.symbols.select("repo", F.col("file_path").alias("path")))[0]
+    return G.audit_files(g, g.symbols.select("repo", F.col("file_path").alias("path")))[0].drop("worst")
 
 
 @query(_WITH + _ONE + _DEP + ", f as (select distinct repo, root, file_path file from dep) select repo, root, file, n from (select *, row_number() over (partition by repo, root order by file) n from f) where n <= 15")
@@ -353,8 +350,6 @@ def symbols_upsert(spark, d):
 
 
 def _upsert_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from cambium.functions.plain import plain_qname
-
     g = G.load_graph(spark, d)
     old = table(spark, d, "symbols").where("removed_at is not null").groupBy("repo", plain_qname(F.col("qname")).alias("qname")).agg(F.min("file_path").alias("file_path"))
     return g.symbols.select("repo", "qname", "file_path"), old

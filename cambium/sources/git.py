@@ -12,7 +12,7 @@ FACTS = "commit string, author string, date string, subject string"
 
 
 def _git(repo: str, *args: str, timeout: int = 30) -> list[str]:
-    if not os.path.isdir(os.path.join(repo, ".git")):
+    if not has_history(repo):
         return []
     try:
         done = subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, timeout=timeout, check=False)
@@ -21,12 +21,19 @@ def _git(repo: str, *args: str, timeout: int = 30) -> list[str]:
     return done.stdout.splitlines() if done.returncode == 0 else []
 
 
-def changed_files(repo: str, include_untracked: bool = True) -> list[str]:
-    """Paths that differ from the last commit, sorted."""
-    names = set(_git(repo, "diff", "--name-only", "HEAD"))
-    if include_untracked:
-        names |= set(_git(repo, "ls-files", "--others", "--exclude-standard"))
-    return sorted(n for n in names if n)
+def has_history(repo: str) -> bool:
+    return os.path.isdir(os.path.join(repo, ".git"))
+
+
+def changed_files(repo: str, untracked: bool = True) -> list[str]:
+    """Paths that differ from the last commit, sorted: both ends of a renaming, and new files if `untracked`."""
+    out, entries = set(), iter("\n".join(_git(repo, "status", "--porcelain=v1", "-z", f"--untracked-files={'all' if untracked else 'no'}")).split("\0"))
+    for entry in entries:
+        if len(entry) > 3:
+            out.add(entry[3:])
+            if entry[0] in "RC":
+                out.add(next(entries, ""))
+    return sorted(out - {""})
 
 
 def changed(spark: SparkSession, repo: str, name: str, paths: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,8 @@ def cycle(spark: SparkSession, root: str, store: SnapshotStore, repo: str) -> di
     affected = []
     if summary["changed_files"]:
         changed = git.changed(spark, root, repo, summary["changed_files"])
-        affected = [r.asDict() for r in G.change_surface(stored_graph(store), changed).orderBy("qname", "relation").limit(1000).collect()]
+        with scope(spark):
+            affected = [r.asDict() for r in G.change_surface(stored_graph(store), changed).orderBy("qname", "relation").collect()]
     return summary | {"affected": affected}
 
 

@@ -30,6 +30,8 @@ def test_index_increment_and_ask(spark, tmp_path):
     os.remove(root / "app/__init__.py")
     third = cycle(spark, str(root), store, "r")
     assert (third["changed"], third["removed"]) == (1, 1)
+    assert third["language"] == "python" and third["parse_error_files"] == [] and third["reconciled"] == 1 and third["changed_files"] == ["app/util.py"]
+    assert {r.path for r in store.read("files").where("deleted").collect()} == {"app/__init__.py"} and store.read("star_exports").count() == 0
     g = stored_graph(store)
     assert {r.qname for r in g.symbols.collect()} == {"app.util", "app.util.other", "app.main", "app.main.run"}
     assert not g.edges.where("target_qname = 'app.util.helper'").count()
@@ -38,6 +40,20 @@ def test_index_increment_and_ask(spark, tmp_path):
     assert len(ask("tools/list")["result"]["tools"]) == 8
     assert json.loads(ask("tools/call", name="search", arguments={"query": "OTHER"})["result"]["content"][0]["text"])["results"][0]["qname"] == "app.util.other"
     assert json.loads(ask("tools/call", name="audit", arguments={"target": "app/util.py"})["result"]["content"][0]["text"])["kind"] == "file"
+    said = lambda name, **p: json.loads(ask("tools/call", name=name, arguments=p)["result"]["content"][0]["text"])
+    got = said("impact", symbol="app.util.other")["repos"][0]
+    assert got["repo"] == "r" and set(got["report"]) == {"symbol", "change", "risk", "confidence", "notes", "direct", "transitive", "affected_files", "suspected", "external_entry", "external_hint"}
+    assert said("impact", symbol="no.such") == {"symbol": "no.such", "risk": "none", "notes": ["symbol not found"], "repos": []}
+    brief = said("audit", target="app.main.run")
+    assert brief["root_symbol"] == "app.main.run" and brief["read_set"] == ["app/main.py"] and brief["affected_files_count"] == 0 and brief["risk"] == "high"
+    assert said("audit", target="no/such.py")["notes"] == ["file not indexed"]
+    changes = said("changes", files=["app/util.py"])
+    assert changes["changed_files"] == ["app/util.py"] and set(changes) == {"changed_files", "affected", "affected_files"}
+    few = server.Tools(spark, g, {"r": str(root)}, rows=1).answer("symbols_in_file", file="app/main.py")
+    assert len(few["symbols"]) == 1 and few["truncated"] == {"symbols": 2}
+    assert ask("initialize", protocolVersion="2025-03-26")["result"]["protocolVersion"] == "2025-03-26" and ask("initialize", protocolVersion="x")["result"]["protocolVersion"] == "2024-11-05"
+    broken = server.handle(lambda: 1 / 0, {"id": 1, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "x"}}})
+    assert broken["result"]["isError"] and "division" in broken["result"]["content"][0]["text"]
     assert ask("nope")["error"]["code"] == -32601 and ask("tools/call", name="x")["error"]["code"] == -32602
     assert server.handle(lambda: tools, {"method": "notifications/initialized"}) is None
 
@@ -50,7 +66,10 @@ def test_git_facts(spark, tmp_path):
     run("add", "-A")
     run("commit", "-qm", "fixed because of load")
     (tmp_path / "b.py").write_text("y = 1\n")
-    assert git.changed_files(str(tmp_path)) == ["b.py"]
+    assert git.changed_files(str(tmp_path)) == ["b.py"] and git.changed_files(str(tmp_path), untracked=False) == []
+    run("mv", "a.py", "c d.py")
+    assert git.changed_files(str(tmp_path)) == ["a.py", "b.py", "c d.py"]
+    run("mv", "c d.py", "a.py")
     assert [r.subject for r in git.history(spark, str(tmp_path), "a.py", 1, 1).collect()] == ["fixed because of load"]
 
 
