@@ -11,7 +11,7 @@ from cambium.functions.plain import plain_path, plain_qname
 from cambium.operators import graph as G
 from cambium.operators import extract, incremental, resolve
 from cambium.plans.problems import _P1, sql_kind, sql_path, sql_qname, sql_sha
-from cambium.session import table
+from cambium.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,8 +53,8 @@ def _root(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([ROOT], "repo string, root string")
 
 
-def _interfaces(g: G.CodeGraph) -> DataFrame:
-    return g.symbols.where("kind = 'interface'").select("repo", F.col("qname").alias("root"))
+def _all(g: G.CodeGraph) -> DataFrame:
+    return g.symbols.select("repo", F.col("qname").alias("root"))
 
 
 # Scans
@@ -153,14 +153,14 @@ dep as (
     case when exists (select 1 from f1 where f1.repo = l.repo and f1.root = l.root and f1.s = l.s) then l.root || '>' || l.s else l.root || '>' || p.p || '>' || l.s end
   from l2 l join p2 p on p.repo = l.repo and p.root = l.root and p.s = l.s)
 """
-_IROOTS = ", roots as (select repo, qname root from sym where kind = 'interface'), "
+_IROOTS = ", roots as (select repo, qname root from sym), "
 _ONE = f", roots as (select '{ROOT[0]}' repo, '{ROOT[1]}' root), "
 
 
 @query(_WITH + _IROOTS + _DEP + f"select repo, root, qname, kind, file_path, relation, edge_kind, {_CONF.format(m='dep')} confidence, edge_kind || ' ' || t || ' (' || method || ')' evidence, path from dep")
 def dependents_two_hop(spark, d):
     g = G.load_graph(spark, d)
-    return G.dependents(g, _interfaces(g)).withColumn("path", F.array_join("path", ">"))
+    return G.dependents(g, _all(g)).withColumn("path", F.array_join("path", ">"))
 
 
 @query(_WITH + _ONE + _DEP + "select repo, root, qname, relation, edge_kind, path from dep where relation = 'direct'")
@@ -183,7 +183,7 @@ select repo, root, found_ as "found", direct, transitive, affected_files, case w
 @query(_WITH + _IROOTS + _DEP + "," + _IMPACT)
 def impact_report(spark, d):
     g = G.load_graph(spark, d)
-    return G.impact(g, _interfaces(g))
+    return G.impact(g, _all(g))
 
 
 def _wb_sql(change: str, kinds: str, risk: str) -> str:
@@ -214,14 +214,46 @@ def would_break_other(spark, d):
     return G.would_break(g, g.symbols, "visibility")
 
 
-@query()
+_FORMER_SIGS = f"former as (select repo, {sql_qname('qname')} qname, max(signature) new_signature from symbols where removed_at is not null and signature is not null group by 1, 2)"
+# Parameters of both signatures, character by character: p is the depth of parentheses, l that of all brackets.
+_PARAMS = rf""", {_FORMER_SIGS},
+sig as (
+  select s.repo, s.qname, 'old' which, coalesce(s.signature, '') t from sym s join former f on f.repo = s.repo and f.qname = s.qname
+  union all select s.repo, s.qname, 'new', f.new_signature from sym s join former f on f.repo = s.repo and f.qname = s.qname),
+walk as (
+  select repo, qname, which, t, instr(t, '(') i, 1 p, 0 l, '' cur, []::varchar[] got, false ended from sig where instr(t, '(') > 0
+  union all
+  select repo, qname, which, t, i + 1, p2, case when c in ('(', '[', '{{') then l + 1 when c in (')', ']', '}}') then l - 1 else l end,
+    case when p2 = 0 or (c = ',' and l = 0) then '' else cur || c end,
+    case when (c = ',' and l = 0) or (p2 = 0 and trim(cur) <> '') then list_append(got, trim(cur)) else got end, p2 = 0
+  from (select *, substr(t, i + 1, 1) c, p + case substr(t, i + 1, 1) when '(' then 1 when ')' then -1 else 0 end p2 from walk where not ended and i < length(t))),
+par as (
+  select repo, qname, which, list_transform(got, lambda x: regexp_replace(regexp_replace(trim(split_part(split_part(x, '=', 1), ':', 1)), '^\.\.\.', ''), '\?$', '')) got from walk where ended),
+two as (
+  select f.repo, f.qname, coalesce((select any_value(got) from par where par.repo = f.repo and par.qname = f.qname and which = 'old'), []::varchar[]) o,
+    coalesce((select any_value(got) from par where par.repo = f.repo and par.qname = f.qname and which = 'new'), []::varchar[]) n from former f)"""
+_MEMBERS = rf""", {_FORMER_SIGS},
+two as (
+  select s.repo, s.qname, regexp_extract_all(coalesce(s.signature, ''), '([A-Za-z_$][\w$]*)\s*(:\s|\(|\?)', 1) o, regexp_extract_all(new_signature, '([A-Za-z_$][\w$]*)\s*(:\s|\(|\?)', 1) n
+  from sym s join former f on f.repo = s.repo and f.qname = s.qname)"""
+
+
+def _former_sql(change: str, kinds: str, both: str) -> str:
+    risk = "case when len(list_filter(n, lambda x: not list_contains(o, x))) > 0 then 'high' when len(list_filter(o, lambda x: not list_contains(n, x))) > 0 then 'medium' else 'low' end"
+    if change == "members":
+        risk = "case when len(list_filter(o, lambda x: not list_contains(n, x))) > 0 then 'high' when len(list_filter(n, lambda x: not list_contains(o, x))) > 0 then 'medium' else 'low' end"
+    whole = _wb_sql(change, kinds, risk).replace("from sym s left join per", "from sym s join two on two.repo = s.repo and two.qname = s.qname left join per").replace(", hit as", both + ", hit as", 1)
+    return whole.replace("with ", "with recursive ", 1)
+
+
+@query(_former_sql("signature", _USE_KINDS, _PARAMS))
 def would_break_signature(spark, d):
     """Going back to the signature of a removed row of the same symbol."""
     g = G.load_graph(spark, d)
     return G.would_break(g, _former_signatures(spark, d), "signature")
 
 
-@query()
+@query(_former_sql("members", _ALL_KINDS, _MEMBERS))
 def would_break_members(spark, d):
     g = G.load_graph(spark, d)
     return G.would_break(g, _former_signatures(spark, d), "members")
@@ -421,6 +453,64 @@ def ancestor_closure(spark, d):
     return resolve.class_chain(e.groupBy("repo", "cls").agg(F.min("base").alias("base")).withColumn("pos", F.lit(0))).select("repo", F.col("cls").alias("qname"), "ancestor", "pos")
 
 
+_RESOLVE = """,
+uni as (select s.repo, s.qname, min(s.name) as name, min(s.kind) kind, min(f.module_qname) m from sym s join fil f on f.repo = s.repo and f.path = s.file_path where f.module_qname is not null group by 1, 2),
+ours as (select repo, qname, name, m from uni where kind <> 'module'),
+modul as (select repo, qname from uni where kind = 'module'),
+own as (select repo, m, name, min(qname) hit from ours group by 1, 2, 3 having count(*) = 1),
+anyw as (select repo, name, min(qname) hit from ours group by 1, 2 having count(*) = 1),
+imp as (select distinct e.repo, e.source_qname m, e.target_qname target from edg e join modul a on a.repo = e.repo and a.qname = e.source_qname join modul b on b.repo = e.repo and b.qname = e.target_qname where e.kind = 'imports'),
+bind as (select repo, m, split_part(target, '.', -1) local, max(target) target from imp group by 1, 2, 3),
+par as (select repo, source_qname c, min(target_qname) p from edg where kind = 'inherits' group by 1, 2),
+chain as (select repo, qname c, qname a, 0 pos, [qname] seen from uni union all select h.repo, h.c, par.p, h.pos + 1, list_append(h.seen, par.p) from chain h join par on par.repo = h.repo and par.c = h.a where h.pos < 9 and not list_contains(h.seen, par.p)),
+asks as (
+  select distinct e.repo, e.source_qname source, t.target, x.m from edg e join uni x on x.repo = e.repo and x.qname = e.source_qname,
+  unnest([split_part(e.target_qname, '.', -1), array_to_string(string_split(e.target_qname, '.')[-2:], '.'), 'self.' || split_part(e.target_qname, '.', -1), 'super.' || split_part(e.target_qname, '.', -1)]) t(target) where e.kind <> 'imports'),
+r as (
+  select *, split_part(target, '.', 1) f1, case when contains(target, '.') then substr(target, instr(target, '.') + 1) end rest,
+    case when contains(source, '.') then regexp_replace(source, '\\.[^.]*$', '') else source end parent from asks),
+q as (
+  select r.*, split_part(rest, '.', 1) member, case when near.qname is not null and near.qname <> source then near.qname else own.hit end local, anyw.hit any_hit, bind.target bound, po.qname is not null owned
+  from r left join uni near on near.repo = r.repo and near.qname = parent || '.' || f1 left join own on own.repo = r.repo and own.m = r.m and own.name = f1 left join anyw on anyw.repo = r.repo and anyw.name = f1
+  left join bind on bind.repo = r.repo and bind.m = r.m and bind.local = f1 left join ours po on po.repo = r.repo and po.qname = parent),
+cut_ as (select q.*, k, array_to_string(string_split(rest, '.')[1:k], '.') pre from q, unnest(range(1, len(string_split(rest, '.')) + 1)) t(k) where rest is not null),
+cand as (
+  select repo, source, target, 10 rank, 0 n, 0 o, local key, 'same' as method from q where rest is null
+  union all select repo, source, target, 30, 0, 0, any_hit, 'global' from q where rest is null
+  union all select q.repo, source, target, 5, 0, h.pos, h.a || '.' || member, 'same' from q join chain h on h.repo = q.repo and h.c = q.parent where owned and rest is not null and (f1 in ('self', 'cls', 'this', 'type') or (f1 = 'super' and h.pos > 0))
+  union all select repo, source, target, 40, -k, 0, bound || '.' || pre, 'import' from cut_
+  union all select repo, source, target, 50, -k, 0, local || '.' || pre, 'same' from cut_
+  union all select repo, source, target, 60, -k, 0, any_hit || '.' || pre, 'global' from cut_),
+met as (select cand.* from cand join uni on uni.repo = cand.repo and uni.qname = cand.key),
+first_ as (select * from met qualify row_number() over (partition by repo, source, target order by rank, n, o, key, method) = 1),
+deep as (
+  select f.repo, f.source, f.target, -k n, h.pos o, h.a || '.' || array_to_string(string_split(q.rest, '.')[2:k + 1], '.') key from first_ f join q on q.repo = f.repo and q.source = f.source and q.target = f.target join chain h on h.repo = f.repo and h.c = f.key, unnest(range(1, len(string_split(q.rest, '.')))) t(k)
+  where f.rank = 5 and contains(q.rest, '.')),
+deeper as (select d.* from deep d join uni on uni.repo = d.repo and uni.qname = d.key qualify row_number() over (partition by d.repo, d.source, d.target order by n, o, d.key) = 1)
+select f.repo, f.source, f.target, coalesce(d.key, f.key) hit, f.method as method from first_ f left join deeper d on d.repo = f.repo and d.source = f.source and d.target = f.target"""
+
+
+@query(_WITH.replace("with ", "with recursive ", 1).rstrip() + _RESOLVE)
+def resolve_stored(spark, d):
+    """What the targets of edges would mean to their sources if written as code does (by name, with their owner, as members
+    of self and super): by receiver and ancestors, imported modules, scope and module, and unique names, over the stored
+    symbols, imports and inheritance."""
+    g = G.load_graph(spark, d)
+    universe = G.symbol_rows(g).where("module_qname is not null").select("repo", "qname", "name", "kind", F.col("module_qname").alias("module"))
+    universe = cut(universe, "universe")
+    modules = universe.where("kind = 'module'").select("repo", "qname")
+    whole = g.edges.where("kind = 'imports'").join(modules.withColumnRenamed("qname", "source_qname"), ["repo", "source_qname"], "left_semi").join(modules.withColumnRenamed("qname", "target_qname"), ["repo", "target_qname"], "left_semi")
+    imports = whole.select("repo", F.col("source_qname").alias("module"), F.substring_index("target_qname", ".", -1).alias("local"), F.lit("*").alias("imported"), F.col("target_qname").alias("spec"), F.col("target_qname").alias("target"), F.col("target_qname").alias("pos")).distinct()
+    bases = g.edges.where("kind = 'inherits'").groupBy("repo", F.col("source_qname").alias("cls")).agg(F.min("target_qname").alias("base")).withColumn("pos", F.lit(0))
+    r = resolve.Resolver(universe, imports, imports.select("repo", "module", "target").where("false")).with_bases(bases)
+    at = universe.select("repo", F.col("qname").alias("source_qname"), "module")
+    name = F.substring_index("target_qname", ".", -1)
+    texts = F.array(name, F.substring_index("target_qname", ".", -2), F.concat(F.lit("self."), name), F.concat(F.lit("super."), name))
+    asks = g.edges.where("kind <> 'imports'").join(at, ["repo", "source_qname"]).select("repo", F.col("source_qname").alias("source"), F.explode(texts).alias("target"), "module").distinct()
+    asks = asks.withColumn("id", F.concat_ws(resolve.SEP, "source", "target"))
+    return r.resolve(asks).join(asks, ["repo", "id"]).select("repo", "source", "target", "hit", "method")
+
+
 # Evaluation
 
 
